@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, mixing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,14 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(docs).drop("text"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of sources 5 : 2 : 1 takes of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_bpe_round_trip": op2_bpe_round_trip}
+    return {"op2_bpe_round_trip": op2_bpe_round_trip, "op3_mix_sources": op3_mix_sources}
 
 
 def oracle_sql() -> dict[str, str]:
