@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, quality_rules
+from . import bpe, jaccard_join, line_dedup, mixing, quality_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked by the Jaccard similarity of their 5-word shingles."""
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier line repeats within one word."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,7 +43,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_bpe_round_trip": op2_bpe_round_trip, "op3_mix_sources": op3_mix_sources, "op6_quality_rules": op6_quality_rules, "op9_line_dedup": op9_line_dedup}
+    return {"op2_bpe_round_trip": op2_bpe_round_trip, "op3_mix_sources": op3_mix_sources, "op6_quality_rules": op6_quality_rules, "op7_jaccard_join": op7_jaccard_join, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
