@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, line_dedup, mixing, quality_rules
+from . import bpe, jaccard_join, line_dedup, mixing, quality_cnn, quality_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole text of documents by a network learned from labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_cnn.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every whole text of documents, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,7 +50,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_bpe_round_trip": op2_bpe_round_trip, "op3_mix_sources": op3_mix_sources, "op6_quality_rules": op6_quality_rules, "op7_jaccard_join": op7_jaccard_join, "op9_line_dedup": op9_line_dedup}
+    return {"op1_quality_classifier": op1_quality_classifier, "op2_bpe_round_trip": op2_bpe_round_trip, "op3_mix_sources": op3_mix_sources, "op6_quality_rules": op6_quality_rules, "op7_jaccard_join": op7_jaccard_join, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
