@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: What separates words.
+#: The characters that separate words, and runs of them.
+BLANKS = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -66,7 +67,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text as an array; none of a null one. JVM only."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -76,3 +78,41 @@ def ascii_lower(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def runs_of_keys(batches, keys: list[str]):
+    """(batch, bounds) with whole runs of equal keys from batches that are sorted by keys.
+
+    A run may cross batches; what is held back is the last run only.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+
+    def cut(table: pa.Table):
+        n = table.num_rows
+        new = np.zeros(n, bool)
+        new[:1] = True
+        for k in keys:
+            v = table.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.append(np.flatnonzero(new), n)
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        first = [batch.column(batch.schema.get_field_index(k))[0].as_py() for k in keys]
+        last = [batch.column(batch.schema.get_field_index(k))[batch.num_rows - 1].as_py() for k in keys]
+        before = [held[0].column(held[0].schema.get_field_index(k))[held[0].num_rows - 1].as_py() for k in keys]
+        if first == last == before:
+            continue  # the run goes on
+        table = pa.Table.from_batches(held).combine_chunks()
+        bounds = cut(table)
+        if len(bounds) > 2:
+            yield table.slice(0, bounds[-2]), bounds[:-1]
+        held = table.slice(bounds[-2]).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, cut(table)

@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-Two lines are the same if their words, A-Z lower-cased, differ by one edit at most: one
+Two lines are the same if their words differ by one edit at most: one
 word put in, left out or replaced. Lines under ``min_words`` words must be equal. Every
 line that is the same as an earlier one, by (doc_id, line number), goes; the earliest
 stays. "Same" isn't carried on: a line goes for an earlier one within the bound, whether
@@ -17,9 +17,8 @@ or not that one stays.
    with a word left out.
 4. Every pair that a key brings is verified word by word.
 
-Keys of 63 bits less the logarithm of the line's length can collide by chance: a false pair
-is refused by the check, and the chance that one hides a true pair is of the order of
-lines x words / 2^50.
+Keys of 61 bits can collide by chance: a false pair is refused by the check, and the chance
+that one hides a true pair is of the order of lines x words / 2^61.
 
 Defined results: lines without a word, and null texts, are kept as they are. Rows of one
 doc_id count as one document's lines at the same places; their later equal lines go only if
@@ -32,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, words
+from .common import BLANKS, Scratch, words
 
 MIN_WORDS = 8
 BREAK = "\n"
@@ -41,7 +40,7 @@ BREAK = "\n"
 def _lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, line_no and words of every line that has a word."""
     cut = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), BREAK)).alias("line_no", "line"))
-    return cut.select("doc_id", "line_no", words(ascii_lower(F.col("line"))).alias("w")).where(F.size("w") > 0)
+    return cut.where(F.btrim("line", F.lit(BLANKS)) != "").select("doc_id", "line_no", words(F.col("line")).alias("w"))
 
 
 def _halves(n: Column) -> Column:
@@ -56,34 +55,26 @@ def _halves(n: Column) -> Column:
     return F.array(*parts)
 
 
-def _pair_hash(a: Column, b: Column, shift: Column) -> Column:
-    return F.call_function("shiftrightunsigned", F.xxhash64(a, b), shift)
-
-
-def _shift(n: Column) -> Column:
-    """Bits to drop so that n + 1 hashes add up to less than 2^63."""
-    return (F.ceil(F.log2(n + F.lit(2.0))) + 1).cast("int")
-
-
-def _word(i: Column) -> Column:
-    """The i-th word, or the mark before the first and after the last."""
-    return F.coalesce(F.get("w", i), F.lit(""))
+#: Keys are sums modulo 2^61, so that none overflows.
+MASK = (1 << 61) - 1
 
 
 def _keys(lines: DataFrame) -> DataFrame:
-    """lines (doc_id, line_no, w, n) with full, the key of the line, and cut, those of its variants."""
-    n = F.col("n")
-
-    def total(shift: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(-1), n - 1), lambda i: _pair_hash(_word(i), _word(i + 1), shift))
-        return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
-
-    one = lines.withColumn("__s", _shift(n - 1)).withColumn("full", total(_shift(n))).withColumn("__t", total(F.col("__s")))
-    variant = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.col("__t") - _pair_hash(_word(i - 1), _word(i), F.col("__s")) - _pair_hash(_word(i), _word(i + 1), F.col("__s")) + _pair_hash(_word(i - 1), _word(i + 1), F.col("__s")),
-    )
-    return one.withColumn("cut", variant).drop("__s", "__t")
+    """lines (doc_id, line_no, w, n) with full, the key of the line, and cut, those of its variants.
+
+    A key is the sum of hashes of neighbouring words, with a mark before the first and after
+    the last; a variant's takes two of them away and adds the one of the words that meet.
+    """
+    mark = F.array(F.lit(0).cast("long"))
+    one = lines.withColumn("__h", F.concat(mark, F.transform("w", lambda x: F.xxhash64(x)), mark))
+    masked = lambda x: x.bitwiseAND(F.lit(MASK))
+    pairs = F.zip_with(F.slice("__h", F.lit(1), F.col("n") + 1), F.slice("__h", F.lit(2), F.col("n") + 1), lambda a, b: masked(F.xxhash64(a, b)))
+    over = F.zip_with(F.slice("__h", F.lit(1), F.col("n")), F.slice("__h", F.lit(3), F.col("n")), lambda a, b: masked(F.xxhash64(a, b)))
+    two = one.select("doc_id", "line_no", "w", "n", pairs.alias("__p"), over.alias("__o"))
+    three = two.withColumn("full", F.aggregate("__p", F.lit(0).cast("long"), lambda a, x: masked(a + x)))
+    taken = F.zip_with("__o", "__p", lambda o, p: o - p)
+    cut = F.zip_with(taken, F.slice("__p", F.lit(2), F.col("n")), lambda a, p: masked(F.col("full") + a - p + F.lit(MASK + 1)))
+    return three.withColumn("cut", cut).drop("__p", "__o")
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -118,7 +109,7 @@ def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_wo
     wanted = near.groupBy("doc_id").agg(F.collect_set("line_no").alias("__wanted"))
     texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted.hint("shuffle_hash"), "doc_id")
     cut = texts.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), BREAK)).alias("line_no", "line"), "__wanted").where(F.array_contains("__wanted", F.col("line_no")))
-    found = cut.select("doc_id", "line_no", words(ascii_lower(F.col("line"))).alias("w")).where(F.size("w") > 0).dropDuplicates(["doc_id", "line_no"])
+    found = cut.select("doc_id", "line_no", words(F.col("line")).alias("w")).where(F.size("w") > 0).dropDuplicates(["doc_id", "line_no"])
     keyed = scratch.write(_keys(found.withColumn("n", F.size("w"))), "keyed")
 
     # equal variants: replaced words meet at the same place, a word left out meets the full line
