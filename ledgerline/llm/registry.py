@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, line_dedup, mixing, quality_cnn, quality_rules
+from . import bpe, embedding_dedup, jaccard_join, line_dedup, mixing, quality_cnn, quality_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,8 +49,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", "emptied", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "text")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of embeddings at cosine 0.9."""
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality_classifier": op1_quality_classifier, "op2_bpe_round_trip": op2_bpe_round_trip, "op3_mix_sources": op3_mix_sources, "op6_quality_rules": op6_quality_rules, "op7_jaccard_join": op7_jaccard_join, "op9_line_dedup": op9_line_dedup}
+    return {"op1_quality_classifier": op1_quality_classifier, "op2_bpe_round_trip": op2_bpe_round_trip, "op3_mix_sources": op3_mix_sources, "op6_quality_rules": op6_quality_rules, "op7_jaccard_join": op7_jaccard_join, "op9_line_dedup": op9_line_dedup, "op10_embedding_dedup": op10_embedding_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
