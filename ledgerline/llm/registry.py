@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, jaccard_join, line_dedup, mixing, quality_cnn, quality_rules
+from . import bpe, embedding_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, quality_cnn, quality_rules, substring_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,23 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that the canonical digests of documents and of their lines name."""
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that an earlier document has, found by chains of seeds."""
+    return substring_dedup.passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from its text, markup and address."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(pages, docs).select("page_id", "language", "probability", "text_language", "declared")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of robust outlier detection for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -55,8 +72,8 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality_classifier": op1_quality_classifier, "op2_bpe_round_trip": op2_bpe_round_trip, "op3_mix_sources": op3_mix_sources, "op6_quality_rules": op6_quality_rules, "op7_jaccard_join": op7_jaccard_join, "op9_line_dedup": op9_line_dedup, "op10_embedding_dedup": op10_embedding_dedup}
+    return {"op1_quality_classifier": op1_quality_classifier, "op2_bpe_round_trip": op2_bpe_round_trip, "op3_mix_sources": op3_mix_sources, "op4_license_scan": op4_license_scan, "op5_substring_dedup": op5_substring_dedup, "op8_language_id": op8_language_id, "op6_quality_rules": op6_quality_rules, "op7_jaccard_join": op7_jaccard_join, "op9_line_dedup": op9_line_dedup, "op10_embedding_dedup": op10_embedding_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scan": license_scan.sql()}
