@@ -45,6 +45,8 @@ RANGE_BITS, PLACE_BITS = 9, 26
 LEAST, FREQUENT = 12, 1 << 20
 #: Bands of two minimum hashes for the first grouping.
 BANDS = 6
+#: Members of a group that are opened in one row.
+CHUNK = 32
 #: Bits of the filter of documents that a verification needs: 8 MB.
 FILTER_BITS = 26
 U = np.uint64
@@ -258,14 +260,20 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFr
     opened = bounded.where((F.col("high") * 5 >= F.col("qn") * 4) & (F.col("low") * 4 <= F.col("qn") * 5) & (most * 9 >= (F.col("qn") + least) * 4))
     opened = scratch.write(opened.select("q", "g", "qn", "qrest", "qdf", "qlast"), "opened")
 
-    # members of opened groups
-    ours = entries.select(F.col("doc_id").alias("q"), "token").join(opened, "q")
-    theirs = entries.select("token", "g", F.col("doc_id").alias("s"), F.col("n").alias("sn"), F.col("rest").alias("srest"), F.col("last_df").alias("sdf"), F.col("last_token").alias("slast"))
-    both = ours.join(theirs, ["g", "token"]).where((F.col("sn") * 5 >= F.col("qn") * 4) & (F.col("sn") * 4 <= F.col("qn") * 5))
-    both = both.groupBy("q", "s").agg(F.count("*").alias("c"), *(F.max(x).alias(x) for x in ("qn", "qrest", "qdf", "qlast", "sn", "srest", "sdf", "slast")))
-    first = F.struct("qdf", "qlast") <= F.struct("sdf", "slast")  # whose prefix ends first: its tokens are all looked at
-    fits = (F.col("c") + F.when(first, F.col("qrest")).otherwise(F.col("srest"))) * 9 >= (F.col("qn") + F.col("sn")) * 4
-    pairs = scratch.write(both.where(fits).select(F.col("q").alias("a"), F.col("s").alias("b")), "pairs")
+    # members of opened groups: the shared tokens of a class and of up to CHUNK members, counted row by row
+    own = scratch.write(entries.groupBy("doc_id").agg(F.max("g").alias("g"), F.max("members").alias("members"), *(F.max(x).alias(x) for x in ("n", "rest", "last_df", "last_token")), F.collect_list("token").alias("tokens")), "own")
+    chunk = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / CHUNK))
+    theirs = own.groupBy("g", chunk.alias("chunk")).agg(F.collect_list(F.struct(F.col("doc_id").alias("s"), "n", "rest", "last_df", "last_token", "tokens")).alias("of"))
+    ours = opened.join(own.select(F.col("doc_id").alias("q"), F.col("tokens").alias("qt")), "q")
+
+    def reaches(s):
+        """Whether member s may link with the class of the row: sizes, and the bound by whose prefix ends first."""
+        first = F.struct(F.col("qdf").alias("last_df"), F.col("qlast").alias("last_token")) <= F.struct(s["last_df"].alias("last_df"), s["last_token"].alias("last_token"))
+        c = F.size(F.array_intersect(s["tokens"], F.col("qt"))) + F.when(first, F.col("qrest")).otherwise(s["rest"])
+        return (s["n"] * 5 >= F.col("qn") * 4) & (s["n"] * 4 <= F.col("qn") * 5) & (c * 9 >= (F.col("qn") + s["n"]) * 4)
+
+    both = ours.join(theirs, "g").select("q", F.explode(F.transform(F.filter("of", reaches), lambda s: s["s"])).alias("s"))
+    pairs = scratch.write(both.select(F.col("q").alias("a"), F.col("s").alias("b")), "pairs")
     more = scratch.write(verify(pairs, docs), "links")
 
     stars = links.unionByName(more)
