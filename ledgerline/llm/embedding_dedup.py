@@ -119,7 +119,7 @@ def link(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", th
         mixers = np.random.Generator(np.random.PCG64(seed + 1)).integers(1, 1 << 62, width * tables)
         for batch in batches:
             x = _matrix(batch.column(1), dims)
-            x /= np.abs(x).max(1, keepdims=True)
+            x = x / np.abs(x).max(1, keepdims=True)
             x /= np.sqrt((x * x).sum(1, keepdims=True))
             at = np.floor((x.astype(np.float32) @ matrix + offset) / CELL).astype(np.int64)
             keys = (at * mixers).reshape(len(x), tables, width).sum(2)
@@ -144,7 +144,7 @@ def link(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", th
             c, second = table.column("c").to_numpy(), table.column("second").to_numpy()
             ts, ij = table.column("t").to_numpy(), table.column("i").to_numpy() == table.column("j").to_numpy()
             x = _matrix(table.column("x"), dims)
-            x /= np.abs(x).max(1, keepdims=True)
+            x = x / np.abs(x).max(1, keepdims=True)
             x /= np.sqrt((x * x).sum(1, keepdims=True))
             out = []
             for g in range(len(bounds) - 1):
