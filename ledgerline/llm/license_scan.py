@@ -34,6 +34,7 @@ ALIKE = (
     ("per cent", "percent"),
     ("version ", "v"),
 )
+TWO = tuple(x for x in ALIKE if " " in x[0].strip())
 #: A copyright line, once canonical.
 COPYRIGHT = r"^(portions )?(copyright|c)( c)?( by)? .*[0-9]{4}.*$|^all rights reserved$"
 
@@ -77,11 +78,19 @@ def canonical(text: str) -> list[str]:
     return [x for x in (line.strip(" ") for line in text.split("\n")) if x and not re.match(COPYRIGHT, x)]
 
 
+def joined(lines: list[str]) -> str:
+    """The canonical text of canonical lines; spellings of two words may stand on two lines."""
+    text = " ".join(lines)
+    for a, b in TWO:
+        text = text.replace(a, b)
+    return text
+
+
 def digests(known: tuple[tuple[str, str], ...] = KNOWN) -> dict[str, str]:
     """Digest to licence; the first of equal canonical texts counts."""
     out: dict[str, str] = {}
     for name, text in known:
-        out.setdefault(hashlib.md5(" ".join(canonical(text)).encode()).hexdigest(), name)
+        out.setdefault(hashlib.md5(joined(canonical(text)).encode()).hexdigest(), name)
     return out
 
 
@@ -97,7 +106,10 @@ def scan(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", known: tu
     """(doc_id, license: of the whole text or null, n_notices, notices: sorted, with commas between)."""
     table = F.broadcast(df.sparkSession.createDataFrame(list(digests(known).items()), "digest string, name string"))
     lines = df.select(F.col(doc_id).alias("doc_id"), lines_of(F.col(text)).alias("lines"))
-    whole = F.struct(F.lit(True).alias("whole"), F.md5(F.array_join("lines", " ").cast("binary")).alias("digest"))
+    text_ = F.array_join("lines", " ")
+    for a, b in TWO:
+        text_ = F.replace(text_, F.lit(a), F.lit(b))
+    whole = F.struct(F.lit(True).alias("whole"), F.md5(text_.cast("binary")).alias("digest"))
     units = F.array_append(F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), F.md5(x.cast("binary")).alias("digest"))), whole)
     found = lines.where(F.size("lines") > 0).select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.*").join(table, "digest")
     # matches are few; every document is named once, with or without
@@ -117,13 +129,16 @@ def sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
     flat = r"regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\n]+', ' ', 'g')"
     for a, b in ALIKE:
         flat = f"replace({flat}, '{a}', '{b}')"
+    whole = "array_to_string(lines, ' ')"
+    for a, b in TWO:
+        whole = f"replace({whole}, '{a}', '{b}')"
     rows = ", ".join(f"('{d}', '{n}')" for d, n in digests(known).items())
     return f"""
     with known(digest, name) as (values {rows}),
     flat as (select doc_id, list_filter(list_transform(string_split({flat}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' and not regexp_matches(x, '{COPYRIGHT}')) as lines from documents),
     units as (
       select doc_id, false as whole, md5(unnest(lines)) as digest from flat
-      union all select doc_id, true, md5(array_to_string(lines, ' ')) from flat where len(lines) > 0
+      union all select doc_id, true, md5({whole}) from flat where len(lines) > 0
     ),
     matched as (
       select doc_id, min(name) filter (where whole) as license, count(*) filter (where not whole) as n_notices,
