@@ -10,6 +10,7 @@ from .operators.lower import Compiler
 from .plans.graph import Graph
 from .plans.ir import Plan, canonical_key
 from .plans.model import Model
+from .plans.pick import Menu
 from .sources import catalog
 
 
@@ -32,3 +33,10 @@ class Engine:
 
     def key(self, plan: Plan) -> str:
         return canonical_key(plan, self.model)
+
+    def menu(self, concepts: list[str] | None = None, **how) -> Menu:
+        return Menu(self.graph, concepts, **how)
+
+    def pick(self, pick: dict, menu: Menu | None = None) -> DataFrame:
+        """Rows of a pick; routes are ids of the menu, or of the form From>To#n."""
+        return self.run((menu or Menu(self.graph, [pick["subject"]])).parse(pick))

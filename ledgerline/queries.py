@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .operators import profile
 from .plans.graph import Path, Step
 from .plans.ir import Filter, Having, Measure, Plan, Projection, Top
 
 Query = Callable[[SparkSession, str], DataFrame]
-UP = False
 
 
 def _route(source: str, *steps: str) -> Path:
@@ -111,11 +111,31 @@ def _rounded(query: Query, column: str, digits: int) -> Query:
 ROUNDED = {"over_avg_per_grain": ("avg_OrderBill", 2), "over_max_per_grain": ("max_OrderBill", 2)}
 
 
+def _engine(use) -> Query:
+    return lambda spark, sf_dir: use(Engine.retail(spark, sf_dir))
+
+
+PICK = {"subject": "LineItem", "dimensions": [{"route": "LineItem>Nation#1", "attribute": "name"}], "measures": [{"metric": "Revenue"}], "having": [{"measure": 0, "op": ">", "value": 0}], "top": {"measure": 0, "limit": 5}}
+
+#: Queries that aren't a plan: picks and profiles.
+OTHERS: dict[str, tuple[Query, str]] = {
+    "pick_top_nations": (_engine(lambda e: e.pick(PICK)), f"select n_name as name, {REVENUE} as \"Revenue\" from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1 order by 2 desc, 1 limit 5"),
+    "value_ladder_exact": (_engine(lambda e: profile.search_values(e.model, e.tables, "Customer", "segment", "BUILDING")), "select distinct c_mktsegment as value, 'exact' as match from customer where c_mktsegment = 'BUILDING'"),
+    "value_ladder_nocase": (_engine(lambda e: profile.search_values(e.model, e.tables, "Customer", "segment", "building")), "select distinct c_mktsegment as value, 'nocase' as match from customer where lower(c_mktsegment) = 'building'"),
+    "value_ladder_prefix": (_engine(lambda e: profile.search_values(e.model, e.tables, "Nation", "name", "nation_1")), "select distinct n_name as value, 'nocase' as match from nation where lower(n_name) = 'nation_1'"),
+    "value_ladder_contains": (_engine(lambda e: profile.search_values(e.model, e.tables, "Customer", "nation_name", "ation_2")), "select distinct n_name as value, 'contains' as match from nation where lower(n_name) like '%ation\\_2%' escape '\\'"),
+    "fanout_profile": (_engine(lambda e: profile.fan_out(e.model, e.graph, e.tables, "PLACED_BY", False)), "with n as (select c_custkey, count(o_orderkey) as n from customer left join orders on o_custkey = c_custkey group by 1) select 'PLACED_BY' as edge, false as forward, count(*) as origins, max(n)::bigint as largest, sum(n)::double / count(*) as mean, count(*) filter (where n = 0) as orphans, false as contradicted from n"),
+    "fanout_profile_junction": (_engine(lambda e: profile.fan_out(e.model, e.graph, e.tables, "CONTAINS_RETURNED_PART")), "with n as (select o_orderkey, count(l_partkey) as n from orders left join lineitem on l_orderkey = o_orderkey and l_returnflag = 'R' group by 1) select 'CONTAINS_RETURNED_PART' as edge, true as forward, count(*) as origins, max(n)::bigint as largest, sum(n)::double / count(*) as mean, count(*) filter (where n = 0) as orphans, false as contradicted from n"),
+    "column_facts": (_engine(lambda e: profile.column_facts(e.model, e.tables, "Supplier")), "select 'id' as attribute, count(*) as rows, 0::bigint as nulls, 0::bigint as blanks, count(distinct s_suppkey) as distinct_values from supplier union all select 'name', count(*), count(*) - count(s_name), count(*) filter (where trim(s_name) = ''), count(distinct s_name) from supplier union all select 'balance', count(*), count(*) - count(s_acctbal), 0, count(distinct s_acctbal) from supplier"),
+    "cardinality_profile": (_engine(lambda e: profile.cardinality(e.graph, e.tables, "LIVES_IN")), "select 'LIVES_IN' as edge, 1::bigint as forward_largest, max(n)::bigint as reverse_largest, true as functional from (select c_nationkey, count(*) as n from customer group by 1)"),
+}
+
+
 def queries() -> dict[str, Query]:
-    out = {name: _planned(plan) for name, (plan, _) in PLANS.items()}
+    out = {name: _planned(plan) for name, (plan, _) in PLANS.items()} | {name: q for name, (q, _) in OTHERS.items()}
     return out | {name: _rounded(out[name], *how) for name, how in ROUNDED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: sql for name, (_, sql) in PLANS.items()}
+    out = {name: sql for name, (_, sql) in [*PLANS.items(), *OTHERS.items()]}
     return out | {name: f"select * replace (round(\"{c}\", {d}) as \"{c}\") from ({out[name]})" for name, (c, d) in ROUNDED.items()}
