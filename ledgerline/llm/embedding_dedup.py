@@ -85,20 +85,27 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
 
 
-def unit(vector):
-    """A vector as doubles of length 1, or null if it can't link."""
-    x = vector.cast("array<double>")
+def units(df: DataFrame, vector: str) -> DataFrame:
+    """df (vec_id and the vector) with x, the vector as doubles of length 1, or null if it can't link.
+
+    Scaled by its largest component first, so that squares neither overflow nor vanish. The
+    length stands beside every component as an array, as within a lambda it would be worked
+    out anew for each.
+    """
+    x = F.col(vector).cast("array<double>")
     fine = (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    top = F.array_max(F.transform(x, F.abs))  # scaled by it first, so squares neither overflow nor vanish
-    length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v / top) * (v / top)))
-    return F.when(fine & (top > 0), F.transform(x, lambda v: v / top / length + F.lit(0.0)))
+    one = df.withColumn("__x", F.when(fine, x)).withColumn("__top", F.greatest(F.array_max("__x"), -F.array_min("__x")))
+    two = one.withColumn("__y", F.when(F.col("__top") > 0, F.zip_with("__x", F.array_repeat("__top", F.size("__x")), lambda v, t: v / t)))
+    three = two.withColumn("__length", F.sqrt(F.aggregate("__y", F.lit(0.0), lambda a, v: a + v * v)))
+    return three.withColumn("x", F.zip_with("__y", F.array_repeat("__length", F.size("__y")), lambda v, n: v / n + F.lit(0.0))).drop("__x", "__top", "__y", "__length")
 
 
 def link(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, seed: int = 17) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
     spark = df.sparkSession
     scratch = Scratch(spark, "embeddings")
-    rows = scratch.write(df.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), unit(F.col(vector)).alias("x"), F.col(vector).alias("v")), "unit")
+    named = df.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
+    rows = scratch.write(units(named, "v"), "unit")
     ids = rows.select("vec_id").distinct()
     sizes = rows.where("x is not null").groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
