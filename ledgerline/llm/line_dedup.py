@@ -143,3 +143,26 @@ def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_word
     out = joined.select(*kept, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(stay, BREAK)).alias(text), F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
     empty = (F.col("n_removed") > 0) & (F.length(F.translate(F.col(text), " \t\n\x0b\x0c\r", "")) == 0)
     return out.withColumn("emptied", F.coalesce(empty, F.lit(False)))
+
+
+def sql(min_words: int = MIN_WORDS) -> str:
+    """dedup() of a table documents with distinct doc_ids, in DuckDB SQL."""
+    gap = r"[\x20\x09-\x0D]+"
+    half = lambda n: f"{{'n': {n}, 'side': 0, 'w': w[:({n}) // 2]}}, {{'n': {n}, 'side': 1, 'w': w[n - (({n}) - ({n}) // 2) + 1:]}}"
+    return f"""
+    with cut as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
+    w as (select doc_id, line_no, list_filter(regexp_split_to_array(line, '{gap}'), lambda x: x <> '') as w from cut),
+    l as (select doc_id, line_no, w, len(w) as n, {{'d': doc_id, 'l': line_no}} as p from w where len(w) > 0),
+    first as (select w, n, min(p) as p from l group by w, n),
+    keys as (select p, w, unnest([{half('n')}, {half('n - 1')}]) as k from first where n >= {min_words - 1}),
+    pairs as (select distinct a.p as p, a.w as a, b.w as b from keys a join keys b on a.k = b.k and b.p < a.p where greatest(len(a.w), len(b.w)) >= {min_words}),
+    sides as (select p, case when len(a) <= len(b) then a else b end as s, case when len(a) <= len(b) then b else a end as t from pairs),
+    near as (select distinct p from sides where
+      case len(t) - len(s) when 0 then len(list_filter(range(1, len(s) + 1), lambda i: s[i] <> t[i])) <= 1
+        when 1 then list_bool_or(list_transform(range(1, len(t) + 1), lambda i: list_concat(t[:i - 1], t[i + 1:]) = s)) else false end),
+    gone as (select l.doc_id, l.line_no from l join first using (w) where l.p <> first.p union select p.d, p.l from near),
+    marked as (select c.*, g.doc_id is not null as went from cut c left join gone g on c.doc_id = g.doc_id and c.line_no = g.line_no),
+    out as (select doc_id, count(*) as n_lines, count(*) filter (where went) as n_removed, coalesce(string_agg(line, chr(10) order by line_no) filter (where not went), '') as kept from marked group by doc_id),
+    whole as (select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, case when coalesce(n_removed, 0) = 0 then text else kept end as text from documents d left join out o on d.doc_id = o.doc_id)
+    select doc_id, n_lines, n_removed, n_removed > 0 and regexp_replace(coalesce(text, ''), '{gap}', '', 'g') = '' as emptied, sha256(coalesce(text, '')) as text_sha256, text from whole
+    """
