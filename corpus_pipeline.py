@@ -37,10 +37,10 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole copies of documents, as many as the mix of sources takes; 0 to 3 rows of each."""
     counted = mixing.copies(mixing.mix(docs.select("doc_id", "source", "text")))
-    taken = counted.where("copies > 0").groupBy("doc_id", F.coalesce("source", F.lit("")).alias("__source"), F.col("source").isNull().alias("__none"), "size").agg(F.max("copies").alias("__copies"))
+    taken = counted.where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    here = docs.withColumn("__source", F.coalesce("source", F.lit(""))).withColumn("__none", F.col("source").isNull()).withColumn("size", size)
-    joined = here.join(taken.hint("shuffle_hash"), ["doc_id", "__source", "__none", "size"])
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (size == F.col("__size"))
+    joined = docs.join(taken.hint("shuffle_hash"), same)
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
