@@ -11,6 +11,7 @@ from .plans.graph import Graph
 from .plans.ir import Plan, canonical_key
 from .plans.model import Model
 from .plans.pick import Menu
+from .plans.review import Remark, review
 from .sources import catalog
 
 
@@ -34,6 +35,9 @@ class Engine:
     def key(self, plan: Plan) -> str:
         return canonical_key(plan, self.model)
 
+    def review(self, plan: Plan) -> list[Remark]:
+        return review(plan, self.graph)
+
     def menu(self, concepts: list[str] | None = None, **how) -> Menu:
         return Menu(self.graph, concepts, **how)
 

@@ -94,3 +94,37 @@ def test_profiles(engine):
     assert facts["largest"] == 1 and not facts["contradicted"] and facts["orphans"] == 0
     with pytest.raises(PlanError):
         profile.search_values(engine.model, engine.tables, "Customer", "balance", "1")
+
+
+def test_descriptions_and_routes(engine):
+    m, g = engine.model, engine.graph
+    d = lookup.describe_concept(m, g, "Order")
+    assert "OrderBill" in d["metrics"] and any(e["edge"] == "OF_ORDER" and e["several"] for e in d["edges"])
+    assert lookup.list_subjects(m, g, "Region")[0] == ("Nation", 1) and len(lookup.list_concepts(m)) == len(m.concepts)
+    found = lookup.find_paths(g, "Order", "Part")
+    assert found[0]["steps"][0]["backing"] == "junction" and found[0]["multiplies"] and g.route(found[1]["id"]) is not None
+
+
+def test_review(engine):
+    from ledgerline.plans.graph import Path, Step
+    from ledgerline.plans.ir import Measure, Plan, Projection, Top
+
+    both = Plan("Order", (), (Projection(None, "status"),), (Measure(metric="OrderBill"), Measure(metric="OrderTax")))
+    assert [r.code for r in engine.review(both)] == ["DOUBLE_COUNT"]
+    unused = Plan("Order", (Path("Order", (Step("PLACED_BY"),)),), (), (Measure(metric="OrderTotal"),), top=Top(measure=0))
+    assert {r.code for r in engine.review(unused)} >= {"UNUSED_ROUTE", "ORDER_OF_ONE", "NO_LIMIT"}
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    from ledgerline.streaming.metrics import windowed
+
+    how = {"time": "ts", "every": "1 day", "late": "60 days", "keys": ["event_type"], "measures": {"n": ("count", "event_id"), "total": ("sum", "value")}, "decimals": 2}
+    events = spark.read.parquet(f"{DIR}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = windowed(stream, **how).writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = {tuple(r) for r in windowed(events, **how).collect()}
+    assert {tuple(r) for r in spark.table("windows").collect()} == want and len(want) > 5
+    with pytest.raises(PlanError):
+        windowed(events, **how | {"measures": {"d": ("count_distinct", "user_id")}})
