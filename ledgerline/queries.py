@@ -122,7 +122,7 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "pick_top_nations": (_engine(lambda e: e.pick(PICK)), f"select n_name as name, {REVENUE} as \"Revenue\" from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1 order by 2 desc, 1 limit 5"),
     "value_ladder_exact": (_engine(lambda e: profile.search_values(e.model, e.tables, "Customer", "segment", "BUILDING")), "select distinct c_mktsegment as value, 'exact' as match from customer where c_mktsegment = 'BUILDING'"),
     "value_ladder_nocase": (_engine(lambda e: profile.search_values(e.model, e.tables, "Customer", "segment", "building")), "select distinct c_mktsegment as value, 'nocase' as match from customer where lower(c_mktsegment) = 'building'"),
-    "value_ladder_prefix": (_engine(lambda e: profile.search_values(e.model, e.tables, "Nation", "name", "nation_1")), "select distinct n_name as value, 'nocase' as match from nation where lower(n_name) = 'nation_1'"),
+    "value_ladder_prefix": (_engine(lambda e: profile.search_values(e.model, e.tables, "Nation", "name", "nation")), "select distinct n_name as value, 'prefix' as match from nation where lower(n_name) like 'nation%'"),
     "value_ladder_contains": (_engine(lambda e: profile.search_values(e.model, e.tables, "Customer", "nation_name", "ation_2")), "select distinct n_name as value, 'contains' as match from nation where lower(n_name) like '%ation\\_2%' escape '\\'"),
     "fanout_profile": (_engine(lambda e: profile.fan_out(e.model, e.graph, e.tables, "PLACED_BY", False)), "with n as (select c_custkey, count(o_orderkey) as n from customer left join orders on o_custkey = c_custkey group by 1) select 'PLACED_BY' as edge, false as forward, count(*) as origins, max(n)::bigint as largest, sum(n)::double / count(*) as mean, count(*) filter (where n = 0) as orphans, false as contradicted from n"),
     "fanout_profile_junction": (_engine(lambda e: profile.fan_out(e.model, e.graph, e.tables, "CONTAINS_RETURNED_PART")), "with n as (select o_orderkey, count(l_partkey) as n from orders left join lineitem on l_orderkey = o_orderkey and l_returnflag = 'R' group by 1) select 'CONTAINS_RETURNED_PART' as edge, true as forward, count(*) as origins, max(n)::bigint as largest, sum(n)::double / count(*) as mean, count(*) filter (where n = 0) as orphans, false as contradicted from n"),
