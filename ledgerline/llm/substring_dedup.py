@@ -221,13 +221,13 @@ def spans(df: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str
     docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seeds = docs.where(F.octet_length("text") > 2 * K - 2).mapInArrow(_seeds, "seed long, doc_id long, pos int")
     place = F.struct("doc_id", "pos")
-    salted = seeds.groupBy("seed", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.min(place).alias("near"), F.max("doc_id").alias("last"))
-    # seeds of two documents at least, each with its earliest place in every salt and over all
-    lead = salted.groupBy("seed").agg(F.min("near").alias("first"), F.max("last").alias("last"), F.collect_list(F.struct("salt", "near")).alias("of")).where(F.col("first.doc_id") != F.col("last"))
-    lead = scratch.write(lead.drop("last"), "lead")
-    near = F.element_at(F.filter("of", lambda s: s["salt"] == F.pmod(F.hash("doc_id"), F.lit(SALTS))), 1)["near"]
-    met = seeds.join(lead, "seed").select("doc_id", "pos", F.array_distinct(F.array(F.col("first"), near)).alias("with"))
-    matches = met.select("doc_id", "pos", F.explode("with").alias("w")).where(F.col("w.doc_id") < F.col("doc_id"))
+    # seeds of two documents at least, with their earliest place; the others go before anything else is kept of them
+    lead = seeds.groupBy("seed").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).where(F.col("first.doc_id") != F.col("last"))
+    salt = F.pmod(F.hash("doc_id"), F.lit(SALTS))
+    met = scratch.write(seeds.join(lead.drop("last"), "seed").withColumn("salt", salt), "met")
+    near = met.groupBy("seed", "salt").agg(F.min(place).alias("near"))
+    both = met.join(near, ["seed", "salt"]).select("doc_id", "pos", F.array_distinct(F.array("first", "near")).alias("with"))
+    matches = both.select("doc_id", "pos", F.explode("with").alias("w")).where(F.col("w.doc_id") < F.col("doc_id"))
     matches = matches.select("doc_id", F.col("w.doc_id").alias("other"), "pos", F.col("w.pos").alias("other_pos"))
     order = ["doc_id", "other", "pos", "other_pos"]
     chains = scratch.write(matches.repartition("doc_id", "other").sortWithinPartitions(*order).mapInArrow(_chains, "doc_id long, other long, no int, xs array<int>, ys array<int>"), "chains")
