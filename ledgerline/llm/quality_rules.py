@@ -30,8 +30,8 @@ SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 MIN_ROWS = 100
 STEPS = 4
-#: Part of a group's rows that a concentration step keeps.
-KEEP = 0.75
+#: Part of a group's rows that a concentration step keeps: half, so that up to nearly half may be junk.
+KEEP = 0.5
 #: Bins of a factor e of squared distance.
 BINS = 64
 #: The least standard deviation of each transformed statistic.

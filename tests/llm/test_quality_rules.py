@@ -60,6 +60,17 @@ def test_distances_and_verdicts(spark):
     assert np.allclose(have, want, rtol=1e-6)
 
 
+def test_a_third_of_a_group_is_junk(spark):
+    """Copies of one junk text, or varied junk, over a quarter of a group don't become the estimate."""
+    draw = random.Random(8)
+    junk = lambda: " ".join(x.upper() + "!!" for x in prose(draw, draw.randint(100, 160), 3000)) + " # | $" * 30
+    one = junk()
+    rows = [(i, " ".join(prose(draw, draw.randint(60, 300), 3000)), "en", s) for s, first in (("copies", 0), ("varied", 1000)) for i in range(first, first + 200)]
+    rows += [(5000 + i, one, "en", "copies") for i in range(100)] + [(6000 + i, junk(), "en", "varied") for i in range(100)]
+    got = {r["doc_id"]: r["kept"] for r in q.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(kept == (i < 5000) for i, kept in got.items())
+
+
 def test_defined_results(spark):
     rows = [(1, None, None, None), (1, None, None, None), (None, "a", "en", "s")]
     out = q.judge(spark.createDataFrame(rows, DOCS)).collect()
