@@ -4,23 +4,30 @@
    every ``WINDOW`` consecutive ones, so any run of K + WINDOW - 1 words that two documents
    share has a seed in both. A seed that recurs in a document counts at its first place.
 2. Each seed's earliest place, over all documents and over those of one of ``SALTS`` hash
-   classes, is found by a grouped minimum; every other document that has the seed is
-   matched with these two places. So matches grow with the seeds, not with the square of
-   how many documents share one.
+   classes, is found by a grouped minimum; every other
+   document that has the seed is matched with these two places. So matches grow with the seeds, not with the
+   square of how many documents share one.
 3. Matches of two documents are chained in the order of both by dynamic programming with
    gap costs over a Fenwick tree of prefix maxima, and chains are cut at gaps of over
    ``GAP`` words. A chain has two seeds at least.
 4. Chains are aligned on the words: equal stretches between anchors, an edit distance within
    a band where they differ, and extension over both ends while it pays. Spans of at
    least ``IDENTITY`` are kept.
-5. Spans of a document that touch are one passage; those of ``min_words`` words or more
-   are returned, with the share of their words that the alignments match.
+5. Exact repeats don't hang on those two places. Each run of ``EXACT`` words (or
+   ``min_words``, if less) is a key of its own, so a run that any earlier document has is
+   matched with the earliest that has all of it. A shorter run from a minimizer on, of which
+   every such run has one within, says where to look: only runs about one that recurs are
+   keyed.
+6. Spans of a document that touch are one passage; those of ``min_words`` words or more
+   are returned, with the share of their words that the spans match. ``n_others`` counts
+   the documents that they were matched with, not all that have the passage.
 
 Defined results: null and empty texts, and those under K words, have no seeds. Places count
 words (runs of other than space and the controls 9 to 13; A-Z count as a-z). The first
-document, by doc_id, that has a passage keeps it; later ones are reported. Rows that repeat
-a doc_id are one document whose texts stand one after the other, in no promised order,
-without a match across them. Null doc_ids are left out. Other columns aren't read.
+document, by doc_id, that has a passage keeps it; later ones are reported. Within a document
+the first place keeps it, and a later one is reported if the two don't overlap; ``of_doc``
+is then the document itself. Rows that repeat a doc_id are one document, and places count
+within each row. Null doc_ids are left out. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -44,32 +51,87 @@ REACH = 48
 IDENTITY = 0.8
 #: Words of a chain, and of a passage, at least.
 MIN_CHAIN, MIN_WORDS = 16, 50
+#: Words of an exact run that is found whatever else shares parts of it.
+EXACT = MIN_WORDS
 #: Chains for which a document's words are cut out at once.
 AT_ONCE = 256
 U = np.uint64
 
 
+def minimizers(h: np.ndarray) -> np.ndarray:
+    """Places of the least hash of every WINDOW consecutive ones."""
+    if len(h) <= WINDOW:
+        return np.array([int(h.argmin())]) if len(h) else np.zeros(0, np.int64)
+    v = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
+    return np.unique(v.argmin(1) + np.arange(len(v)))
+
+
 def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct seeds of a text and their first places."""
     h = shingles.runs(words, K)
-    if len(h) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    if len(h) <= WINDOW:
-        at = np.array([int(h.argmin())])
-    else:
-        v = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-        at = np.unique(v.argmin(1) + np.arange(len(v)))
+    at = minimizers(h)
     seeds, first = np.unique(h[at], return_index=True)
     return seeds.view(np.int64), at[first].astype(np.int32)
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_numpy()
-        for first, words, bounds in shingles.texts(batch.column(1)):
-            found = [seeds_of(words[a:b]) for a, b in zip(bounds, bounds[1:])]
-            n = [len(s) for s, _ in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for s, _ in found])), pa.array(np.repeat(ids[first : first + len(n)], n)), pa.array(np.concatenate([p for _, p in found]))], names=["seed", "doc_id", "pos"])
+def anchors_of(words: np.ndarray, exact: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places such that equal runs of exact words have an equal one at the same place, WINDOW - 1 words in at most."""
+    if exact < K + WINDOW - 1:
+        h = shingles.runs(words, exact)
+        return h.view(np.int64), np.arange(len(h), dtype=np.int32)
+    h = shingles.runs(words, exact - WINDOW + 1)
+    at = minimizers(shingles.runs(words, K))
+    at = at[at < len(h)]
+    return h[at].view(np.int64), at.astype(np.int32)
+
+
+def _keys(of):
+    """Rows (seed, doc_id, pos) of each text by a function of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for first, words, bounds in shingles.texts(batch.column(1)):
+                found = [of(words[a:b]) for a, b in zip(bounds, bounds[1:])]
+                n = [len(s) for s, _ in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for s, _ in found])), pa.array(np.repeat(ids[first : first + len(n)], n)), pa.array(np.concatenate([p for _, p in found]))], names=["seed", "doc_id", "pos"])
+
+    return run
+
+
+def _runs(exact: int):
+    """Rows (run, doc_id, pos) of the runs of exact words that the anchors at a text's places may belong to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, places = batch.column(0).to_numpy(), batch.column(2)
+            for first, words, bounds in shingles.texts(batch.column(1)):
+                for i, (a, b) in enumerate(zip(bounds, bounds[1:]), first):
+                    h = shingles.runs(words[a:b], exact)
+                    at = np.unique((places[i].values.to_numpy()[:, None] - np.arange(WINDOW)).ravel())
+                    at = at[(at >= 0) & (at < len(h))]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), ids[i])), pa.array(at.astype(np.int32))], names=["run", "doc_id", "pos"])
+
+    return run
+
+
+def _joined(exact: int):
+    """Spans of matched runs (doc_id, pos, other, other_pos; sorted) that follow one another in both documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            d, x, o, y = (batch.column(i).to_numpy() for i in range(4))
+            new = np.ones(len(d), bool)
+            new[1:] = (d[1:] != d[:-1]) | (o[1:] != o[:-1]) | (np.diff(x) != 1) | (np.diff(y) != 1)
+            s = np.flatnonzero(new)
+            e = np.append(s[1:], len(d)) - 1
+            columns = [d[s], o[s], x[s], x[e] + np.int32(exact), y[s], y[e] + np.int32(exact), np.ones(len(s))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "other", "start", "stop", "other_start", "other_stop", "identity"])
+
+    return run
 
 
 def chains_of(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -216,13 +278,39 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+SPAN = "doc_id long, other long, start int, stop int, other_start int, other_stop int, identity double"
+
+
+def documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def earlier(first: str, length: int) -> Column:
+    """Is a place of so many words one of an earlier document, or before this one in the same?"""
+    return (F.col(f"{first}.doc_id") < F.col("doc_id")) | ((F.col(f"{first}.doc_id") == F.col("doc_id")) & (F.col(f"{first}.pos") + length <= F.col("pos")))
+
+
+def repeats(df: DataFrame, scratch: Scratch, exact: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The spans of all runs of exact words that stand at an earlier place, each matched with the earliest of the run."""
+    docs = documents(df, doc_id, text)
+    place = F.struct("doc_id", "pos")
+    twice = lambda rows, key: rows.groupBy(key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
+    anchors = docs.where(F.octet_length("text") > 2 * exact - 2).mapInArrow(_keys(lambda w: anchors_of(w, exact)), "seed long, doc_id long, pos int")
+    places = scratch.write(anchors.join(twice(anchors, "seed").select("seed"), "seed").groupBy("doc_id").agg(F.collect_set("pos").alias("places")), "places")
+    runs = scratch.write(docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_runs(exact), "run long, doc_id long, pos int"), "runs")
+    met = runs.join(twice(runs, "run"), "run").where(earlier("first", exact)).select("doc_id", "pos", F.col("first.doc_id").alias("other"), F.col("first.pos").alias("other_pos"))
+    found = scratch.write(met.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(_joined(exact), SPAN), "repeats")
+    scratch.drop("runs")
+    return found
+
+
 def spans(df: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, other, start, stop, other_start, other_stop, identity): aligned chains of a document with an earlier one."""
-    docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    seeds = docs.where(F.octet_length("text") > 2 * K - 2).mapInArrow(_seeds, "seed long, doc_id long, pos int")
+    docs = documents(df, doc_id, text)
+    seeds = docs.where(F.octet_length("text") > 2 * K - 2).mapInArrow(_keys(seeds_of), "seed long, doc_id long, pos int")
     place = F.struct("doc_id", "pos")
-    # seeds of two documents at least, with their earliest place; the others go before anything else is kept of them
-    lead = seeds.groupBy("seed").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).where(F.col("first.doc_id") != F.col("last"))
+    # seeds of two places at least, with their earliest; the others go before anything else is kept of them
+    lead = seeds.groupBy("seed").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
     salt = F.pmod(F.hash("doc_id"), F.lit(SALTS))
     met = scratch.write(seeds.join(lead.drop("last"), "seed").withColumn("salt", salt), "met")
     near = met.groupBy("seed", "salt").agg(F.min(place).alias("near"))
@@ -244,13 +332,15 @@ def spans(df: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str
     a = cut.where("left").select(*on, F.col("start").alias("a0"), F.col("words").alias("aw"))
     b = cut.where("not left").select(*on, F.col("start").alias("b0"), F.col("words").alias("bw"))
     both = chains.join(a, on).join(b, on).select("doc_id", "other", "xs", "ys", "a0", "aw", "b0", "bw")
-    return both.mapInArrow(_aligned, "doc_id long, other long, start int, stop int, other_start int, other_stop int, identity double").where((F.col("identity") >= IDENTITY) & (F.col("stop") - F.col("start") >= MIN_CHAIN))
+    aligned = both.mapInArrow(_aligned, SPAN)
+    return aligned.where((F.col("identity") >= IDENTITY) & (F.col("stop") - F.col("start") >= MIN_CHAIN))
 
 
 def passages(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, of_doc, n_others, identity): passages that an earlier document has."""
     scratch = Scratch(df.sparkSession, "substrings")
-    found = scratch.write(spans(df, scratch, doc_id=doc_id, text=text), "spans")
+    exact = repeats(df, scratch, min(EXACT, max(1, min_words)), doc_id=doc_id, text=text)
+    found = scratch.write(spans(df, scratch, doc_id=doc_id, text=text).unionByName(exact), "spans")
     # spans that overlap or touch within a document; its spans are as many as its seeds at most
     order = Window.partitionBy("doc_id").orderBy("start", "stop", "other")
     before = found.withColumn("reach", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))

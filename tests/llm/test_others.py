@@ -90,6 +90,21 @@ def test_repeats_of_a_corpus(spark):
     assert sum(len(truth[i] & got[i]) for i in truth) >= 0.97 * sum(map(len, truth.values()))
 
 
+def test_passages_whose_parts_earlier_documents_have(spark):
+    """Every exact repeat of 50 words is found, though other documents lead the seeds of its parts."""
+    draw, rows, truth = random.Random(12), [], {}
+    own = lambda n: prose(draw, n, 9000)
+    for k in range(0, 400, 10):
+        passage = own(draw.randint(50, 62))
+        cuts = [passage[:draw.randint(40, 48)], passage[-draw.randint(40, 48):]] * 2 + [passage, passage]
+        rows += [(k + i, " ".join(own(20) + part + own(20))) for i, part in enumerate(cuts)]
+        truth[k + 5] = len(passage)
+    out = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    for i, n in truth.items():
+        got = out[out.doc_id == i]
+        assert len(got) == 1 and got.start_word.iloc[0] <= 20 and got.end_word.iloc[0] >= 20 + n
+
+
 def test_chains_are_the_best_by_brute_force():
     draw = random.Random(2)
     for _ in range(60):
