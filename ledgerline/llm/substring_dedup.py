@@ -2,10 +2,10 @@
 
 1. A document's seeds are the minimizers of its runs of ``K`` words: the least hash of
    every ``WINDOW`` consecutive ones, so any run of K + WINDOW - 1 words that two documents
-   share has a seed in both. A seed that recurs in a document counts at its first place.
+   share has a seed in both. Every place of a seed counts.
 2. Each seed's earliest place, over all documents and over those of one of ``SALTS`` hash
-   classes, is found by a grouped minimum; every other
-   document that has the seed is matched with these two places. So matches grow with the seeds, not with the
+   classes, is found by a grouped minimum; every later place of the seed, of the same
+   document too, is matched with these two. So matches grow with the seeds, not with the
    square of how many documents share one.
 3. Matches of two documents are chained in the order of both by dynamic programming with
    gap costs over a Fenwick tree of prefix maxima, and chains are cut at gaps of over
@@ -67,11 +67,10 @@ def minimizers(h: np.ndarray) -> np.ndarray:
 
 
 def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct seeds of a text and their first places."""
+    """Seeds of a text and their places."""
     h = shingles.runs(words, K)
     at = minimizers(h)
-    seeds, first = np.unique(h[at], return_index=True)
-    return seeds.view(np.int64), at[first].astype(np.int32)
+    return h[at].view(np.int64), at.astype(np.int32)
 
 
 def anchors_of(words: np.ndarray, exact: int) -> tuple[np.ndarray, np.ndarray]:
@@ -315,7 +314,7 @@ def spans(df: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str
     met = scratch.write(seeds.join(lead.drop("last"), "seed").withColumn("salt", salt), "met")
     near = met.groupBy("seed", "salt").agg(F.min(place).alias("near"))
     both = met.join(near, ["seed", "salt"]).select("doc_id", "pos", F.array_distinct(F.array("first", "near")).alias("with"))
-    matches = both.select("doc_id", "pos", F.explode("with").alias("w")).where(F.col("w.doc_id") < F.col("doc_id"))
+    matches = both.select("doc_id", "pos", F.explode("with").alias("w")).where(earlier("w", K))
     matches = matches.select("doc_id", F.col("w.doc_id").alias("other"), "pos", F.col("w.pos").alias("other_pos"))
     order = ["doc_id", "other", "pos", "other_pos"]
     chains = scratch.write(matches.repartition("doc_id", "other").sortWithinPartitions(*order).mapInArrow(_chains, "doc_id long, other long, no int, xs array<int>, ys array<int>"), "chains")
@@ -333,6 +332,9 @@ def spans(df: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str
     b = cut.where("not left").select(*on, F.col("start").alias("b0"), F.col("words").alias("bw"))
     both = chains.join(a, on).join(b, on).select("doc_id", "other", "xs", "ys", "a0", "aw", "b0", "bw")
     aligned = both.mapInArrow(_aligned, SPAN)
+    # a span and the earlier place in its own document, both extended, are cut back to where they don't overlap
+    over = F.when(F.col("doc_id") == F.col("other"), F.greatest(F.col("other_stop") - F.col("start"), F.lit(0))).otherwise(0)
+    aligned = aligned.withColumn("over", over).withColumns({c: F.col(c) - F.col("over") for c in ("stop", "other_stop")}).drop("over")
     return aligned.where((F.col("identity") >= IDENTITY) & (F.col("stop") - F.col("start") >= MIN_CHAIN))
 
 

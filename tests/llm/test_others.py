@@ -105,6 +105,21 @@ def test_passages_whose_parts_earlier_documents_have(spark):
         assert len(got) == 1 and got.start_word.iloc[0] <= 20 and got.end_word.iloc[0] >= 20 + n
 
 
+def test_passages_twice_in_a_document(spark):
+    """A shared passage is reported at both of its places, one of the document alone at the second."""
+    draw = random.Random(13)
+    own = lambda n: prose(draw, n, 9000)
+    p, q = own(80), own(70)
+    near = list(q)
+    near[30] = "changed"
+    texts = {1: p + own(40), 2: own(30) + p + own(200) + p, 3: q + own(100) + p[:8] + own(60) + q + own(90) + near, 4: ["z"] * 300}
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    out = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["of_doc"]) for r in out)
+    want = [(2, 30, 110, 1), (2, 310, 390, 1), (3, 238, 308, 3), (3, 398, 468, 3), (4, 50, 300, 4)]
+    assert len(got) == len(want) and all(g[0] == w[0] and g[3] == w[3] and abs(g[1] - w[1]) <= 2 and abs(g[2] - w[2]) <= 2 for g, w in zip(got, want))
+
+
 def test_chains_are_the_best_by_brute_force():
     draw = random.Random(2)
     for _ in range(60):
