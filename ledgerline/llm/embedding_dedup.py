@@ -13,7 +13,9 @@ projections is normal with variance 2 - 2 cosine).
 
 Equal vectors (scaled) are one class with a weight, so copies make no pairs. A cell is cut
 into tiles of ``TILE`` vectors, and pairs of tiles are dealt over the tasks; no task gathers
-a cell. Within a tile pair the work is by the vectors in the windows, in numpy. A pair
+a cell. Within a tile pair every pair's collisions are counted, in numpy, so unlinked
+vectors of a large cell cost its square. Cells stand in for windows over all vectors,
+which hold near half of these: a pair that shares no cell isn't counted. A pair
 that meets in several tables is verified in the first only.
 
 Recall: a pair at cosine 0.9 shares a cell of at least one table with probability 0.98 or
