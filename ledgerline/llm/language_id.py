@@ -59,7 +59,7 @@ def trigrams(text: bytes) -> np.ndarray:
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in order and the log-probability of each bucket under each."""
     fine = docs.where(F.col(lang).isNotNull() & F.octet_length(text).between(20, SAMPLE_BYTES))
-    langs = [r[0] for r in fine.select(lang).distinct().orderBy(lang).limit(200).collect()]
+    langs = [r[0] for r in fine.select(lang).distinct().orderBy(lang).collect()]
     out = []
     for name in langs:
         ids = [r[0] for r in fine.where(F.col(lang) == name).select(doc_id).orderBy(F.xxhash64(F.lit(5), F.col(doc_id)), doc_id).limit(sample).collect()]

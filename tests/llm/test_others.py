@@ -49,6 +49,13 @@ def test_language_evidence(spark):
     assert {r["language"] for r in language_id.identify(df, docs.limit(0)).collect()} == {None}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"some words of language {i} here", f"l{i:03}") for i in range(203)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    langs, logs = language_id.fit(docs, sample=0)  # two jobs a language otherwise
+    assert langs == [f"l{i:03}" for i in range(203)] and len(logs) == 203
+
+
 def test_visible_text():
     assert language_id.visible(b"<p>a<!-- b --><STYLE>c</STYLE>d&amp;e</p><nav>f</nav>") == b"a d e"
 
