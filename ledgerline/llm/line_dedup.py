@@ -1,10 +1,14 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-Two lines are the same if their words differ by one edit at most: one
-word put in, left out or replaced. Lines under ``min_words`` words must be equal. Every
-line that is the same as an earlier one, by (doc_id, line number), goes; the earliest
-stays. "Same" isn't carried on: a line goes for an earlier one within the bound, whether
-or not that one stays.
+Two lines are the same if their words are equal, or differ by one edit (a word put in, left
+out or replaced) that is at most one in ``min_words`` of the longer line's words. The rate is
+part of what "same" means: one edit in a line of two words leaves another line. Every
+line that is the same as an earlier one goes; the earliest stays. "Same" isn't carried on: a
+line goes for an earlier one within the bound, whether or not that one stays.
+
+Lines are ordered by doc_id, row and line number. A row is known by its doc_id and a hash of its
+text, so rows that repeat a doc_id with other texts are documents of their own, in the order of
+these hashes.
 
 1. Lines become 128-bit digests; a grouped minimum finds each one's earliest place.
 2. Of two lines within the bound, either the first or the second half of the words is
@@ -21,9 +25,11 @@ Keys of 61 bits can collide by chance: a false pair is refused by the check, and
 that one hides a true pair is of the order of lines x words / 2^61.
 
 Defined results: lines without a word, and null texts, are kept as they are. Rows of one
-doc_id count as one document's lines at the same places; their later equal lines go only if
-an earlier place has them. A document all of whose lines with words went is reported
-with ``emptied`` true. Other columns are kept.
+doc_id with different texts each lose what an earlier row has, and nothing else; rows of one
+doc_id with the same text can't be told apart and are one document, kept alike. Rows of a null
+doc_id come after all others and lose lines like them. A document all of whose lines with words
+went is reported with ``emptied`` true. Other columns are kept; n_lines, n_removed and emptied
+replace ones of the same name.
 """
 
 from __future__ import annotations
@@ -37,10 +43,16 @@ MIN_WORDS = 8
 BREAK = "\n"
 
 
+def _row(doc_id: str, text: str) -> Column:
+    """What a row is known by, in the order of rows: null doc_ids last, rows of a doc_id by their texts' hashes."""
+    one = F.col(doc_id).cast("long")
+    return F.struct(one.isNull().alias("no"), F.coalesce(one, F.lit(0).cast("long")).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"))
+
+
 def _lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, line_no and words of every line that has a word."""
-    cut = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), BREAK)).alias("line_no", "line"))
-    return cut.where(F.btrim("line", F.lit(BLANKS)) != "").select("doc_id", "line_no", words(F.col("line")).alias("w"))
+    """The row, line_no and words of every line that has a word."""
+    cut = df.select(_row(doc_id, text).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), BREAK)).alias("line_no", "line"))
+    return cut.where(F.btrim("line", F.lit(BLANKS)) != "").select("doc", "line_no", words(F.col("line")).alias("w"))
 
 
 def _halves(n: Column) -> Column:
@@ -60,7 +72,7 @@ MASK = (1 << 61) - 1
 
 
 def _keys(lines: DataFrame) -> DataFrame:
-    """lines (doc_id, line_no, w, n) with full, the key of the line, and cut, those of its variants.
+    """lines (doc, line_no, w, n) with full, the key of the line, and cut, those of its variants.
 
     A key is the sum of hashes of neighbouring words, with a mark before the first and after
     the last; a variant's takes two of them away and adds the one of the words that meet.
@@ -70,7 +82,7 @@ def _keys(lines: DataFrame) -> DataFrame:
     masked = lambda x: x.bitwiseAND(F.lit(MASK))
     pairs = F.zip_with(F.slice("__h", F.lit(1), F.col("n") + 1), F.slice("__h", F.lit(2), F.col("n") + 1), lambda a, b: masked(F.xxhash64(a, b)))
     over = F.zip_with(F.slice("__h", F.lit(1), F.col("n")), F.slice("__h", F.lit(3), F.col("n")), lambda a, b: masked(F.xxhash64(a, b)))
-    two = one.select("doc_id", "line_no", "w", "n", pairs.alias("__p"), over.alias("__o"))
+    two = one.select("doc", "line_no", "w", "n", pairs.alias("__p"), over.alias("__o"))
     three = two.withColumn("full", F.aggregate("__p", F.lit(0).cast("long"), lambda a, x: masked(a + x)))
     taken = F.zip_with("__o", "__p", lambda o, p: o - p)
     cut = F.zip_with(taken, F.slice("__p", F.lit(2), F.col("n")), lambda a, p: masked(F.col("full") + a - p + F.lit(MASK + 1)))
@@ -88,32 +100,35 @@ def _within_one(a: Column, b: Column) -> Column:
 
 
 def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no) of every line that goes, with the place of an earlier one: of_doc, of_line, and exact."""
+    """(doc, line_no) of every line that goes, with the place of an earlier one: of_doc, of_line, and exact.
+
+    doc and of_doc are rows: structs of no (a null doc_id), id, and row (the hash of the text).
+    """
     scratch = Scratch(df.sparkSession, "line-dedup")
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc", "line_no")
     lines = _lines(df, doc_id, text)
-    digest = lines.select("doc_id", "line_no", F.size("w").alias("n"), F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), F.col("w")).alias("k2"), F.when(F.size("w") >= min_words - 1, _halves(F.size("w"))).alias("halves"))
+    digest = lines.select("doc", "line_no", F.size("w").alias("n"), F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), F.col("w")).alias("k2"), F.when(F.size("w") >= min_words - 1, _halves(F.size("w"))).alias("halves"))
     digest = scratch.write(digest, "digest")
     first = digest.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("c"))
     twice = first.where("c > 1")
-    equal = digest.select("doc_id", "line_no", "k1", "k2").join(twice.drop("c"), ["k1", "k2"]).where(place != F.col("first"))
-    equal = scratch.write(equal.select("doc_id", "line_no", "k1", "k2", "first"), "equal")
+    equal = digest.select("doc", "line_no", "k1", "k2").join(twice.drop("c"), ["k1", "k2"]).where(place != F.col("first"))
+    equal = scratch.write(equal.select("doc", "line_no", "k1", "k2", "first"), "equal")
 
     # distinct lines that share a half with another one
-    gone = equal.select("doc_id", "line_no")
-    alone = digest.where(F.col("halves").isNotNull()).join(gone, ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no", "n", F.explode("halves").alias("half"))
-    alone = alone.select("doc_id", "line_no", "half.*")
+    gone = equal.select("doc", "line_no")
+    alone = digest.where(F.col("halves").isNotNull()).join(gone, ["doc", "line_no"], "left_anti").select("doc", "line_no", "n", F.explode("halves").alias("half"))
+    alone = alone.select("doc", "line_no", "half.*")
     shared = alone.groupBy("n", "side", "h").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a != z")
-    near = alone.join(shared.select("n", "side", "h"), ["n", "side", "h"], "left_semi").select("doc_id", "line_no").distinct()
+    near = alone.join(shared.select("n", "side", "h"), ["n", "side", "h"], "left_semi").select("doc", "line_no").distinct()
     near = scratch.write(near, "near")
-    wanted = near.groupBy("doc_id").agg(F.collect_set("line_no").alias("__wanted"))
-    texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted.hint("shuffle_hash"), "doc_id")
-    cut = texts.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), BREAK)).alias("line_no", "line"), "__wanted").where(F.array_contains("__wanted", F.col("line_no")))
-    found = cut.select("doc_id", "line_no", words(F.col("line")).alias("w")).where(F.size("w") > 0).dropDuplicates(["doc_id", "line_no"])
+    wanted = near.groupBy("doc").agg(F.collect_set("line_no").alias("__wanted"))
+    texts = df.select(_row(doc_id, text).alias("doc"), F.col(text).alias("text")).join(wanted.hint("shuffle_hash"), "doc")
+    cut = texts.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), BREAK)).alias("line_no", "line"), "__wanted").where(F.array_contains("__wanted", F.col("line_no")))
+    found = cut.select("doc", "line_no", words(F.col("line")).alias("w")).where(F.size("w") > 0).dropDuplicates(["doc", "line_no"])
     keyed = scratch.write(_keys(found.withColumn("n", F.size("w"))), "keyed")
 
     # equal variants: replaced words meet at the same place, a word left out meets the full line
-    variants = keyed.select("doc_id", "line_no", "n", F.posexplode("cut").alias("i", "key"))
+    variants = keyed.select("doc", "line_no", "n", F.posexplode("cut").alias("i", "key"))
     starred = variants.groupBy("n", "i", "key").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     replaced = variants.join(starred, ["n", "i", "key"]).where(place != F.col("first")).select(place.alias("a"), F.col("first").alias("b"))
     full = keyed.select(place.alias("a"), F.col("n"), F.col("full").alias("key"))
@@ -126,17 +141,17 @@ def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_wo
     fuzzy = scratch.write(checked.groupBy("a").agg(F.min("b").alias("b")), "fuzzy")
 
     # a line goes for its equal earlier one, or as its earliest equal one goes for a still earlier line
-    exact = equal.select("doc_id", "line_no", F.col("first"), F.lit(True).alias("exact"))
-    alike = fuzzy.select(F.col("a.doc_id").alias("doc_id"), F.col("a.line_no").alias("line_no"), F.col("b").alias("first"), F.lit(False).alias("exact"))
+    exact = equal.select("doc", "line_no", F.col("first"), F.lit(True).alias("exact"))
+    alike = fuzzy.select(F.col("a.doc").alias("doc"), F.col("a.line_no").alias("line_no"), F.col("b").alias("first"), F.lit(False).alias("exact"))
     both = exact.unionByName(alike)
-    return both.select("doc_id", "line_no", F.col("first.doc_id").alias("of_doc"), F.col("first.line_no").alias("of_line"), "exact")
+    return both.select("doc", "line_no", F.col("first.doc").alias("of_doc"), F.col("first.line_no").alias("of_line"), "exact")
 
 
 def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """df with its text without the lines that go, and n_lines, n_removed and emptied."""
     gone = repeats(df, doc_id=doc_id, text=text, min_words=min_words)
-    by_doc = gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = df.join(by_doc.hint("shuffle_hash"), F.col(doc_id) == F.col("__doc"), "left").drop("__doc")
+    by_doc = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
+    joined = df.withColumn("__row", _row(doc_id, text)).join(by_doc.hint("shuffle_hash"), F.col("__row") == F.col("__doc"), "left").drop("__doc", "__row")
     parts = F.split(F.coalesce(F.col(text), F.lit("")), BREAK)
     stay = F.filter(parts, lambda x, i: ~F.array_contains("__gone", i))
     kept = [c for c in df.columns if c not in (text, "n_lines", "n_removed", "emptied")]

@@ -51,8 +51,31 @@ def test_single_edits_of_lines(spark):
     check(spark, rows)
 
 
+def test_repeated_and_null_ids_with_other_texts(spark):
+    draw = random.Random(12)
+    pool = [" ".join(prose(draw, draw.randint(1, 14), 9)) for _ in range(40)]
+    rows = [(draw.choice([None, 1, 2, 3, 4]), "\n".join(draw.choice(pool) for _ in range(draw.randint(1, 5)))) for _ in range(60)]
+    rows += [(2, "same line\nbeta"), (2, "only here stands this line of eight words\ngamma"), (1, "same line"), rows[0], rows[1], (3, None), (None, "same line")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashed = df.distinct().selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) as hash").collect()
+    ordered = sorted(hashed, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["hash"]))
+    want = brute([(k, r["text"]) for k, r in enumerate(ordered)])
+    of = {(r["doc_id"], r["text"]): want[k] for k, r in enumerate(ordered)}
+    got = sorted(map(repr, ((r["doc_id"], r["n_removed"], r["text"]) for r in line_dedup.dedup(df).collect())))
+    assert got == sorted(repr((i, *of[i, t])) for i, t in rows)
+
+
+def test_long_line_and_clashing_columns(spark):
+    w = [f"v{k}" for k in range(30_000)]
+    rows = [(1, " ".join(w), 1, "a", True), (2, " ".join([*w[:500], "x", *w[501:]]), 2, "b", None), (3, " ".join(w[1:-1]), 3, "c", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, line_no int, doc string, emptied boolean")
+    got = {r["doc_id"]: r for r in line_dedup.dedup(df).collect()}
+    assert [got[i]["emptied"] for i in (1, 2, 3)] == [False, True, False] and got[2]["doc"] == "b" and got[3]["line_no"] == 3
+
+
 def test_defined_results(spark):
     rows = [(1, "same line\n\nother", 5), (2, "same  line", 6), (3, None, None), (None, "same line", 1), (4, "", 2)]
     out = {r["doc_id"]: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, n_lines long")).collect()}
+    assert out[None]["emptied"] and out[None]["n_removed"] == 1
     assert out[2]["emptied"] and out[2]["n_removed"] == 1 and not out[3]["emptied"] and out[3]["text"] is None and out[4]["text"] == ""
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
