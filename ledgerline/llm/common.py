@@ -65,6 +65,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_each(docs: DataFrame, scratch: Scratch, name: str = "ids") -> tuple[DataFrame, int]:
+    """docs (doc_id, text) with one row of each doc_id, that of the text of the smallest hash; and the bytes of all texts.
+
+    Texts move only for ids that repeat: these are found by a grouped minimum of hashes.
+    """
+    row = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    ids = docs.select("doc_id", row.alias("row"), F.octet_length("text").alias("bytes")).groupBy("doc_id").agg(F.count("*").alias("c"), F.min("row").alias("row"), F.sum("bytes").alias("bytes"))
+    ids = scratch.write(ids, name)
+    repeated, total = ids.agg(F.count(F.when(F.col("c") > 1, 1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    if repeated:
+        several = ids.where("c > 1").select("doc_id", "row")
+        chosen = docs.withColumn("row", row).join(several, ["doc_id", "row"]).select("doc_id", "text").dropDuplicates(["doc_id"])
+        docs = scratch.write(docs.join(several.select("doc_id"), "doc_id", "left_anti").unionByName(chosen), f"{name}-docs")
+    return docs, int(total)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none of a null one. JVM only."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

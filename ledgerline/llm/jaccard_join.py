@@ -4,30 +4,36 @@ Documents with the same set of shingles are one class, and classes are joined. A
 ordered by rising document frequency; two sets that link share one of the first
 n - ceil(0.8 n) + 1 tokens of either (the prefix), so only prefixes are joined.
 
-1. Exact document frequencies: packed fingerprints of all tokens meet by range and are
-   counted; the ``FREQUENT`` most frequent ones (a bounded list) are known to every task.
-   They decide on the order only, never on the result.
+1. Document frequencies: fingerprints of all tokens, packed and counted by blocks, meet by range
+   and are counted. Ranges and the bits of a fingerprint grow with the bytes of all texts, so a
+   range holds about ``RANGE_TOKENS`` tokens and few tokens share a fingerprint at any size; a
+   token of very many documents is one entry of each block. The ``FREQUENT`` most frequent ones (a
+   bounded list) are known to every task. They decide on the order only, never on the result.
 2. Groups: classes that agree in a band of two minimum hashes are compared with the most
    typical one of the band, and verified links make groups of similar documents.
-3. Token-group matrix: (token, group) for every prefix token of a group's members. A class of
-   another group counts the tokens it shares with a group and bounds the overlap with any
-   member; only groups that can still reach the threshold are opened.
-4. Opened groups' members are counted and bounded one by one, and what is left is verified on
-   the whole sets. Classes of one group are connected already and need no comparing, so a
+3. Token-group matrix: (token, group) for every token of the union of a group's prefixes that
+   another group has. Of the whole union only these can bring a link, so the matrix leaves out the
+   rest of it, and the bound adds for each side what its prefix leaves out. A class of another group
+   counts the tokens it shares with a group and bounds the overlap with any member; only groups
+   that can still reach the threshold are opened.
+4. Opened groups' members are counted and bounded one by one, in chunks of members that are
+   joined by group and chunk, and what is left is verified on the whole sets. Classes of one group are connected already and need no comparing, so a
    large group of near copies makes no rows by the square of its size.
 
 Links of both steps give the components. Nothing is capped: pruning is by bounds that no
 linked pair fails.
 
 Defined results: a null or empty text, or one of white space, has the empty set, links with
-nothing and is its own component. Equal texts are linked, whatever their number; rows that
-repeat a doc_id count as one document whose first row's set is the smallest digest's. Null
-doc_ids are left out, as they can't be named. Columns other than id and text aren't read.
+nothing and is its own component. Equal texts are linked, whatever their number. Rows that
+repeat a doc_id are one document, whose text is the one of the smallest hash; the other texts of
+that doc_id aren't compared. Null doc_ids are left out, as they can't be named. Columns other
+than id and text aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +41,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import Scratch, shuffle_partitions
+from .common import Scratch, one_each, shuffle_partitions
 from .components import components
 
 WIDTH = 5
-#: Bits of a token that name its range and its place in the range when frequencies are counted.
-RANGE_BITS, PLACE_BITS = 9, 26
+#: Tokens of a range, and of a block that is packed at once, about; bytes of a text to a token.
+RANGE_TOKENS, BLOCK_TOKENS, TOKEN_BYTES = 1 << 21, 1 << 22, 6
+#: Bits of a fingerprint beyond those that number the tokens.
+SPARE_BITS = 8
 #: The least frequency that is looked up, and the most tokens that are.
 LEAST, FREQUENT = 12, 1 << 20
 #: Bands of two minimum hashes for the first grouping.
@@ -52,68 +60,104 @@ FILTER_BITS = 26
 U = np.uint64
 
 
-def _gaps(places: np.ndarray) -> bytes:
-    """Sorted places below 2^26 as 16-bit gaps; 65535 carries on."""
-    gap = np.diff(places, prepend=0)
-    carries = gap // 65535
-    out = np.full(len(gap) + int(carries.sum()), 65535, np.uint16)
-    out[np.cumsum(carries + 1) - 1] = gap % 65535
+class Layout(NamedTuple):
+    """Bits of a fingerprint, and how many of the first ones name its range."""
+
+    key: int
+    range: int
+
+    @property
+    def gap(self) -> type:
+        """Integers for the gaps between the fingerprints of a block."""
+        return np.uint16 if self.key <= 36 else np.uint32 if self.key <= 52 else np.uint64
+
+
+def layout(size: int) -> Layout:
+    """The layout for texts of so many bytes in all."""
+    tokens = max(1, size // TOKEN_BYTES)
+    return Layout(min(62, max(24, tokens.bit_length() + SPARE_BITS)), max(3, (tokens // RANGE_TOKENS).bit_length()))
+
+
+def _gaps(places: np.ndarray, kind: type) -> bytes:
+    """Rising numbers as their gaps; the largest integer of the kind carries on."""
+    gap, most = np.diff(places, prepend=0).astype(np.uint64), U(np.iinfo(kind).max)
+    carries = (gap // most).astype(np.int64)
+    out = np.full(len(gap) + int(carries.sum()), most, kind)
+    out[np.cumsum(carries + 1) - 1] = gap % most
     return out.tobytes()
 
 
-def _places(data: bytes) -> np.ndarray:
-    gap = np.frombuffer(data, np.uint16)
-    return np.cumsum(gap, dtype=np.int64)[gap != 65535]
+def _places(data: bytes, kind: type) -> np.ndarray:
+    gap = np.frombuffer(data, kind)
+    return np.cumsum(gap.astype(np.int64))[gap != np.iinfo(kind).max]
 
 
-def _key(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> U(64 - RANGE_BITS - PLACE_BITS)).astype(np.int64)
+def _key(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> U(64 - bits)).astype(np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(range, gaps) of the tokens of all documents, a few million at a time."""
-    held, size = [], 0
+def _packed(form: Layout):
+    """(range, gaps, at, more): a block's distinct fingerprints of a range, and which of them it has more than once, and how often."""
 
-    def out():
-        keys = np.sort(_key(np.concatenate(held)))
-        cut = np.searchsorted(keys, np.arange((1 << RANGE_BITS) + 1) << PLACE_BITS)
-        found = [(r, _gaps(keys[cut[r] : cut[r + 1]] & ((1 << PLACE_BITS) - 1))) for r in range(1 << RANGE_BITS) if cut[r] < cut[r + 1]]
-        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int32()), pa.array([g for _, g in found], pa.binary())], names=["range", "gaps"])
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = np.unique(_key(np.concatenate(held), form.key), return_counts=True)
+        low = form.key - form.range
+        cut = np.searchsorted(keys, np.arange((1 << form.range) + 1) << low)
+        rows = []
+        for r in np.flatnonzero(np.diff(cut)):
+            k, n = keys[cut[r] : cut[r + 1]], counts[cut[r] : cut[r + 1]]
+            more = np.flatnonzero(n > 1)
+            rows.append((int(r), _gaps(k - (int(r) << low), form.gap), more.astype(np.int32).tobytes(), n[more].astype(np.int32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["range", "gaps", "at", "more"])
 
-    for batch in batches:
-        for _, words, bounds in shingles.texts(batch.column(1)):
-            for a, b in zip(bounds, bounds[1:]):
-                held.append(shingles.shingle_set(words[a:b], WIDTH))
-                size += len(held[-1])
-                if size > 4_000_000:
-                    yield out()
-                    held, size = [], 0
-    if size:
-        yield out()
-
-
-def _frequent_of(table: pa.Table) -> pa.Table:
-    places = np.sort(np.concatenate([_places(g) for g in table.column("gaps").to_pylist()]))
-    value, count = np.unique(places, return_counts=True)
-    hot = count >= LEAST
-    keys = (np.int64(table.column("range")[0].as_py()) << PLACE_BITS) + value[hot]
-    return pa.table({"key": pa.array(keys, pa.int64()), "df": pa.array(count[hot], pa.int64())})
-
-
-def frequent_tokens(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the most frequent tokens and their document frequencies."""
-    packed = docs.mapInArrow(_counted, "range int, gaps binary")
-    found = scratch.write(packed.groupBy("range").applyInArrow(_frequent_of, "key long, df long"), "frequent")
-    counts = sorted(((r["df"], r["n"]) for r in found.groupBy(F.floor(F.log2("df") * 8).alias("df")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    level, total = None, 0
-    for df, n in counts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, words, bounds in shingles.texts(batch.column(1)):
+                for a, b in zip(bounds, bounds[1:]):
+                    held.append(shingles.shingle_set(words[a:b], WIDTH))
+                    size += len(held[-1])
+                    if size > BLOCK_TOKENS:
+                        yield out(held)
+                        held, size = [], 0
+        if size:
+            yield out(held)
+
+    return run
+
+
+def _frequent_of(form: Layout):
+    def run(table: pa.Table) -> pa.Table:
+        places, counts = [], []
+        for gaps, at, more in zip(*(table.column(c).to_pylist() for c in ("gaps", "at", "more"))):
+            places.append(_places(gaps, form.gap))
+            n = np.ones(len(places[-1]), np.int64)
+            n[np.frombuffer(at, np.int32)] = np.frombuffer(more, np.int32)
+            counts.append(n)
+        value, of = np.unique(np.concatenate(places), return_inverse=True)
+        df = np.bincount(of, np.concatenate(counts)).astype(np.int64)
+        hot = df >= LEAST
+        keys = (np.int64(table.column("range")[0].as_py()) << (form.key - form.range)) + value[hot]
+        return pa.table({"key": pa.array(keys, pa.int64()), "df": pa.array(df[hot], pa.int64())})
+
+    return run
+
+
+def frequent_tokens(docs: DataFrame, form: Layout, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted fingerprints of the most frequent tokens and their document frequencies."""
+    packed = docs.mapInArrow(_packed(form), "range int, gaps binary, at binary, more binary")
+    found = scratch.write(packed.groupBy("range").applyInArrow(_frequent_of(form), "key long, df long"), "frequent")
+    level = F.floor(F.log2("df") * 8)
+    counts = sorted(((r["level"], r["n"]) for r in found.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 8 x 64 rows
+    least, total = None, 0
+    for of, n in counts:
         total += n
         if total > FREQUENT:
             break
-        level = df
-    if level is None:
+        least = of
+    if least is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kept = found.where(F.floor(F.log2("df") * 8) >= level).toPandas().sort_values("key")
+    kept = found.where(level >= least).toPandas().sort_values("key")  # at most FREQUENT rows
     return kept["key"].to_numpy(), kept["df"].to_numpy()
 
 
@@ -127,7 +171,7 @@ _SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 2 * BANDS,
 PREFIX = "doc_id long, n long, d1 long, d2 long, rest long, last_df long, last_token long, typical double, bands array<long>, prefix array<long>"
 
 
-def _prefixes(docs: DataFrame, keys: np.ndarray, dfs: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, form: Layout, keys: np.ndarray, dfs: np.ndarray) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast((keys, dfs))  # at most FREQUENT of each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +188,7 @@ def _prefixes(docs: DataFrame, keys: np.ndarray, dfs: np.ndarray) -> DataFrame:
                         continue
                     df = np.zeros(n, np.int64)
                     if len(keys):
-                        k = _key(t)
+                        k = _key(t, form.key)
                         at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
                         df = np.where(keys[at] == k, dfs[at], 0)
                     signed = t.view(np.int64)
@@ -216,13 +260,14 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFr
     spark: SparkSession = df.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    keys, dfs = frequent_tokens(docs, scratch)
-    sets = scratch.write(_prefixes(docs, keys, dfs), "sets")
+    docs, size = one_each(docs, scratch)
+    form = layout(size)
+    sets = scratch.write(_prefixes(docs, form, *frequent_tokens(docs, form, scratch)), "sets")
     light = ["doc_id", "n", "d1", "d2"]
     of_class = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    classed = scratch.write(sets.where("n > 0").select(*light).join(of_class, ["n", "d1", "d2"]).select("doc_id", "n", "class_id").distinct(), "classes")
+    classed = scratch.write(sets.where("n > 0").select(*light).join(of_class, ["n", "d1", "d2"]).select("doc_id", "n", "class_id"), "classes")
     reps = classed.where("doc_id = class_id").select("doc_id")
-    heads = scratch.write(sets.where("n > 0").drop("d1", "d2", "prefix").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "heads")
+    heads = scratch.write(sets.where("n > 0").drop("d1", "d2", "prefix").join(reps, "doc_id", "left_semi"), "heads")
 
     # groups: links with the most typical document of a band
     banded = heads.select("doc_id", "n", "typical", F.explode("bands").alias("band"))
@@ -245,11 +290,11 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFr
     # of these, tokens that more than one group has
     placed = shared.join(heads, "doc_id")
     apart = placed.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x != y").select("token")
-    entries = scratch.write(placed.join(apart, "token", "left_semi").dropDuplicates(["doc_id", "token"]), "entries")
+    entries = scratch.write(placed.join(apart, "token", "left_semi"), "entries")
 
     # the matrix, and the groups that a class may link into; of two groups the smaller one asks
     matrix = entries.groupBy("token", "g").agg(F.max("members").alias("members"))
-    group = entries.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
+    group = entries.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"), F.ceil(F.max("members") / CHUNK).alias("chunks"))
     ask = entries.select("token", F.col("doc_id").alias("q"), F.col("g").alias("qg"), F.col("members").alias("qm"))
     met = ask.join(matrix, "token").where((F.col("qm") < F.col("members")) | ((F.col("qm") == F.col("members")) & (F.col("qg") < F.col("g"))))
     met = met.groupBy("q", "g").agg(F.count("*").alias("c"))
@@ -258,13 +303,14 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFr
     least = F.greatest("low", _ceil(F.col("qn") * 4, 5))
     most = F.col("c") + F.greatest("qrest", "rest")
     opened = bounded.where((F.col("high") * 5 >= F.col("qn") * 4) & (F.col("low") * 4 <= F.col("qn") * 5) & (most * 9 >= (F.col("qn") + least) * 4))
-    opened = scratch.write(opened.select("q", "g", "qn", "qrest", "qdf", "qlast"), "opened")
+    opened = scratch.write(opened.select("q", "g", "chunks", "qn", "qrest", "qdf", "qlast"), "opened")
 
     # members of opened groups: the shared tokens of a class and of up to CHUNK members, counted row by row
     own = scratch.write(entries.groupBy("doc_id").agg(F.max("g").alias("g"), F.max("members").alias("members"), *(F.max(x).alias(x) for x in ("n", "rest", "last_df", "last_token")), F.collect_list("token").alias("tokens")), "own")
     chunk = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / CHUNK))
     theirs = own.groupBy("g", chunk.alias("chunk")).agg(F.collect_list(F.struct(F.col("doc_id").alias("s"), "n", "rest", "last_df", "last_token", "tokens")).alias("of"))
-    ours = opened.join(own.select(F.col("doc_id").alias("q"), F.col("tokens").alias("qt")), "q")
+    asked = opened.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    ours = asked.join(own.select(F.col("doc_id").alias("q"), F.col("tokens").alias("qt")), "q")
 
     def reaches(s):
         """Whether member s may link with the class of the row: sizes, and the bound by whose prefix ends first."""
@@ -272,7 +318,7 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFr
         c = F.size(F.array_intersect(s["tokens"], F.col("qt"))) + F.when(first, F.col("qrest")).otherwise(s["rest"])
         return (s["n"] * 5 >= F.col("qn") * 4) & (s["n"] * 4 <= F.col("qn") * 5) & (c * 9 >= (F.col("qn") + s["n"]) * 4)
 
-    both = ours.join(theirs, "g").select("q", F.explode(F.transform(F.filter("of", reaches), lambda s: s["s"])).alias("s"))
+    both = ours.join(theirs, ["g", "chunk"]).select("q", F.explode(F.transform(F.filter("of", reaches), lambda s: s["s"])).alias("s"))
     pairs = scratch.write(both.select(F.col("q").alias("a"), F.col("s").alias("b")), "pairs")
     more = scratch.write(verify(pairs, docs), "links")
 

@@ -49,6 +49,19 @@ def test_chain_of_near_copies_and_a_frequent_passage(spark):
     check(spark, rows)
 
 
+def test_repeated_ids_with_other_texts(spark):
+    draw = random.Random(9)
+    rows = [(draw.randrange(30), " ".join(prose(draw, draw.randint(0, 12), 3))) for _ in range(90)]
+    rows += [(3, None), (3, ""), rows[0], rows[0], (5, "a b c d e f g"), (5, "a b c d e x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashed = df.distinct().selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) as hash").collect()
+    chosen = {}
+    for r in sorted(hashed, key=lambda r: -r["hash"]):
+        chosen[r["doc_id"]] = r["text"]
+    out = jaccard_join.join(df).collect()
+    assert len(out) == len(chosen) and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute(list(chosen.items()))
+
+
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", "x", 2.0)], "doc_id long, text string, token string, g double")
     assert jaccard_join.join(df).count() == 1 and jaccard_join.join(df.limit(0)).count() == 0
@@ -67,9 +80,30 @@ def test_word_hashes_are_of_whole_words():
 
 def test_gaps_come_back():
     draw = np.random.Generator(np.random.PCG64(2))
-    for n in (0, 1, 500):
-        x = np.sort(draw.integers(0, 1 << 26, n))
-        assert (jaccard_join._places(jaccard_join._gaps(x)) == x).all()
+    for bits, n in ((30, 0), (30, 1), (36, 500), (50, 500), (60, 300)):
+        form = jaccard_join.Layout(bits, 4)
+        x = np.unique(draw.integers(0, 1 << min(bits - 4, 48), n))
+        assert (jaccard_join._places(jaccard_join._gaps(x, form.gap), form.gap) == x).all()
+
+
+def test_layout_grows_with_the_texts():
+    small, large = jaccard_join.layout(10**8), jaccard_join.layout(10**14)
+    for size, form in ((10**8, small), (10**14, large)):
+        assert size / 6 / 2**form.range <= 2 * jaccard_join.RANGE_TOKENS and 2**form.key >= 100 * size / 6
+    assert jaccard_join.layout(0).key >= 24
+
+
+def test_document_frequencies(spark):
+    rows = [(i, t) for i, t, _, _ in corpus(4, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    form = jaccard_join.layout(10**6)
+    keys, dfs = jaccard_join.frequent_tokens(df, form, Scratch(spark, "test"))
+    count = {}
+    for _, words_, bounds in shingles.texts(pa.array([t for _, t in rows], pa.string())):
+        for a, b in zip(bounds, bounds[1:]):
+            for k in set(jaccard_join._key(shingles.shingle_set(words_[a:b]), form.key).tolist()):
+                count[k] = count.get(k, 0) + 1
+    assert dict(zip(keys.tolist(), dfs.tolist())) == {k: n for k, n in count.items() if n >= jaccard_join.LEAST} and len(keys)
 
 
 def test_components_of_random_links(spark):
