@@ -37,22 +37,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, words
+from .common import Scratch, words
 
 MIN_WORDS = 8
 BREAK = "\n"
 
 
-def _row(doc_id: str, text: str) -> Column:
+#: What a line's place is made of, in order: the row's doc_id and hash, and the number of the line.
+ROW = ["id", "row"]
+PLACE = [*ROW, "line_no"]
+
+
+def _row(doc_id: str, text: str) -> list[Column]:
     """What a row is known by, in the order of rows: null doc_ids last, rows of a doc_id by their texts' hashes."""
     one = F.col(doc_id).cast("long")
-    return F.struct(one.isNull().alias("no"), F.coalesce(one, F.lit(0).cast("long")).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"))
+    return [F.coalesce(one, F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(one.isNull(), F.coalesce(F.col(text), F.lit(""))).alias("row")]
 
 
 def _lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The row, line_no and words of every line that has a word."""
-    cut = df.select(_row(doc_id, text).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), BREAK)).alias("line_no", "line"))
-    return cut.where(F.btrim("line", F.lit(BLANKS)) != "").select("doc", "line_no", words(F.col("line")).alias("w"))
+    cut = df.select(*_row(doc_id, text), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), BREAK)).alias("line_no", "line"))
+    return cut.select(*PLACE, words(F.col("line")).alias("w")).where(F.size("w") > 0)
 
 
 def _halves(n: Column) -> Column:
@@ -72,7 +77,7 @@ MASK = (1 << 61) - 1
 
 
 def _keys(lines: DataFrame) -> DataFrame:
-    """lines (doc, line_no, w, n) with full, the key of the line, and cut, those of its variants.
+    """lines (a place, w, n) with full, the key of the line, and cut, those of its variants.
 
     A key is the sum of hashes of neighbouring words, with a mark before the first and after
     the last; a variant's takes two of them away and adds the one of the words that meet.
@@ -82,7 +87,7 @@ def _keys(lines: DataFrame) -> DataFrame:
     masked = lambda x: x.bitwiseAND(F.lit(MASK))
     pairs = F.zip_with(F.slice("__h", F.lit(1), F.col("n") + 1), F.slice("__h", F.lit(2), F.col("n") + 1), lambda a, b: masked(F.xxhash64(a, b)))
     over = F.zip_with(F.slice("__h", F.lit(1), F.col("n")), F.slice("__h", F.lit(3), F.col("n")), lambda a, b: masked(F.xxhash64(a, b)))
-    two = one.select("doc", "line_no", "w", "n", pairs.alias("__p"), over.alias("__o"))
+    two = one.select(*PLACE, "w", "n", pairs.alias("__p"), over.alias("__o"))
     three = two.withColumn("full", F.aggregate("__p", F.lit(0).cast("long"), lambda a, x: masked(a + x)))
     taken = F.zip_with("__o", "__p", lambda o, p: o - p)
     cut = F.zip_with(taken, F.slice("__p", F.lit(2), F.col("n")), lambda a, p: masked(F.col("full") + a - p + F.lit(MASK + 1)))
@@ -100,35 +105,34 @@ def _within_one(a: Column, b: Column) -> Column:
 
 
 def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, line_no) of every line that goes, with the place of an earlier one: of_doc, of_line, and exact.
-
-    doc and of_doc are rows: structs of no (a null doc_id), id, and row (the hash of the text).
-    """
+    """(id, row, line_no) of every line that goes, first: the place of an earlier one, and exact. See _row for id and row."""
     scratch = Scratch(df.sparkSession, "line-dedup")
-    place = F.struct("doc", "line_no")
+    place = F.struct(*PLACE)
     lines = _lines(df, doc_id, text)
-    digest = lines.select("doc", "line_no", F.size("w").alias("n"), F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), F.col("w")).alias("k2"), F.when(F.size("w") >= min_words - 1, _halves(F.size("w"))).alias("halves"))
+    digest = lines.select(*PLACE, F.size("w").alias("n"), F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), F.col("w")).alias("k2"), F.when(F.size("w") >= min_words - 1, _halves(F.size("w"))).alias("halves"))
     digest = scratch.write(digest, "digest")
     first = digest.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("c"))
     twice = first.where("c > 1")
-    equal = digest.select("doc", "line_no", "k1", "k2").join(twice.drop("c"), ["k1", "k2"]).where(place != F.col("first"))
-    equal = scratch.write(equal.select("doc", "line_no", "k1", "k2", "first"), "equal")
+    equal = digest.select(*PLACE, "k1", "k2").join(twice.drop("c"), ["k1", "k2"]).where(place != F.col("first"))
+    equal = scratch.write(equal.select(*PLACE, "k1", "k2", "first"), "equal")
 
     # distinct lines that share a half with another one
-    gone = equal.select("doc", "line_no")
-    alone = digest.where(F.col("halves").isNotNull()).join(gone, ["doc", "line_no"], "left_anti").select("doc", "line_no", "n", F.explode("halves").alias("half"))
-    alone = alone.select("doc", "line_no", "half.*")
+    gone = equal.select(*PLACE)
+    alone = digest.where(F.col("halves").isNotNull()).join(gone, PLACE, "left_anti").select(*PLACE, "n", F.explode("halves").alias("half"))
+    alone = alone.select(*PLACE, "half.*")
     shared = alone.groupBy("n", "side", "h").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a != z")
-    near = alone.join(shared.select("n", "side", "h"), ["n", "side", "h"], "left_semi").select("doc", "line_no").distinct()
+    near = alone.join(shared.select("n", "side", "h"), ["n", "side", "h"], "left_semi").select(*PLACE).distinct()
     near = scratch.write(near, "near")
-    wanted = near.groupBy("doc").agg(F.collect_set("line_no").alias("__wanted"))
-    texts = df.select(_row(doc_id, text).alias("doc"), F.col(text).alias("text")).join(wanted.hint("shuffle_hash"), "doc")
-    cut = texts.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), BREAK)).alias("line_no", "line"), "__wanted").where(F.array_contains("__wanted", F.col("line_no")))
-    found = cut.select("doc", "line_no", words(F.col("line")).alias("w")).where(F.size("w") > 0).dropDuplicates(["doc", "line_no"])
+    wanted = near.groupBy(*ROW).agg(F.collect_set("line_no").alias("__wanted"))
+    texts = df.select(*_row(doc_id, text), F.col(text).alias("text")).join(wanted.hint("shuffle_hash"), ROW)
+    # a line is taken by its number from a column, so a text of many lines costs no search for each
+    cut = texts.withColumn("parts", F.split(F.coalesce("text", F.lit("")), BREAK)).where(F.size("parts") > 0)
+    cut = cut.select(*ROW, F.explode(F.transform("__wanted", lambda i: F.struct(i.alias("line_no"), F.get("parts", i).alias("line")))).alias("l"))
+    found = cut.select(*ROW, "l.line_no", words(F.col("l.line")).alias("w")).dropDuplicates(PLACE)
     keyed = scratch.write(_keys(found.withColumn("n", F.size("w"))), "keyed")
 
     # equal variants: replaced words meet at the same place, a word left out meets the full line
-    variants = keyed.select("doc", "line_no", "n", F.posexplode("cut").alias("i", "key"))
+    variants = keyed.select(*PLACE, "n", F.posexplode("cut").alias("i", "key"))
     starred = variants.groupBy("n", "i", "key").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     replaced = variants.join(starred, ["n", "i", "key"]).where(place != F.col("first")).select(place.alias("a"), F.col("first").alias("b"))
     full = keyed.select(place.alias("a"), F.col("n"), F.col("full").alias("key"))
@@ -141,21 +145,21 @@ def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_wo
     fuzzy = scratch.write(checked.groupBy("a").agg(F.min("b").alias("b")), "fuzzy")
 
     # a line goes for its equal earlier one, or as its earliest equal one goes for a still earlier line
-    exact = equal.select("doc", "line_no", F.col("first"), F.lit(True).alias("exact"))
-    alike = fuzzy.select(F.col("a.doc").alias("doc"), F.col("a.line_no").alias("line_no"), F.col("b").alias("first"), F.lit(False).alias("exact"))
-    both = exact.unionByName(alike)
-    return both.select("doc", "line_no", F.col("first.doc").alias("of_doc"), F.col("first.line_no").alias("of_line"), "exact")
+    exact = equal.select(*PLACE, F.col("first"), F.lit(True).alias("exact"))
+    alike = fuzzy.select("a.*", F.col("b").alias("first"), F.lit(False).alias("exact"))
+    return exact.unionByName(alike)
 
 
 def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """df with its text without the lines that go, and n_lines, n_removed and emptied."""
     gone = repeats(df, doc_id=doc_id, text=text, min_words=min_words)
-    by_doc = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = df.withColumn("__row", _row(doc_id, text)).join(by_doc.hint("shuffle_hash"), F.col("__row") == F.col("__doc"), "left").drop("__doc", "__row")
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), BREAK)
-    stay = F.filter(parts, lambda x, i: ~F.array_contains("__gone", i))
+    by_row = gone.groupBy(F.col("id").alias("__i"), F.col("row").alias("__r")).agg(F.collect_set("line_no").alias("__gone"))
+    of, row = _row(doc_id, text)
+    joined = df.withColumns({"__id": of, "__row": row}).join(by_row.hint("shuffle_hash"), (F.col("__id") == F.col("__i")) & (F.col("__row") == F.col("__r")), "left")
+    joined = joined.withColumn("__parts", F.when(F.col("__gone").isNotNull(), F.split(F.col(text), BREAK)))
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone"), lambda i: F.get("__parts", i))
     kept = [c for c in df.columns if c not in (text, "n_lines", "n_removed", "emptied")]
-    out = joined.select(*kept, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(stay, BREAK)).alias(text), F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    out = joined.select(*kept, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(stay, BREAK)).alias(text), F.when(F.col(text).isNull(), 0).otherwise(F.length(F.col(text)) - F.length(F.replace(F.col(text), F.lit(BREAK))) + 1).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
     empty = (F.col("n_removed") > 0) & (F.length(F.translate(F.col(text), " \t\n\x0b\x0c\r", "")) == 0)
     return out.withColumn("emptied", F.coalesce(empty, F.lit(False)))
 

@@ -57,7 +57,7 @@ def test_repeated_and_null_ids_with_other_texts(spark):
     rows = [(draw.choice([None, 1, 2, 3, 4]), "\n".join(draw.choice(pool) for _ in range(draw.randint(1, 5)))) for _ in range(60)]
     rows += [(2, "same line\nbeta"), (2, "only here stands this line of eight words\ngamma"), (1, "same line"), rows[0], rows[1], (3, None), (None, "same line")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    hashed = df.distinct().selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) as hash").collect()
+    hashed = df.distinct().selectExpr("doc_id", "text", "xxhash64(doc_id is null, coalesce(text, '')) as hash").collect()
     ordered = sorted(hashed, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["hash"]))
     want = brute([(k, r["text"]) for k, r in enumerate(ordered)])
     of = {(r["doc_id"], r["text"]): want[k] for k, r in enumerate(ordered)}
