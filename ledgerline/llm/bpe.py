@@ -20,8 +20,10 @@ name. A special token's own string in a text becomes its id.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
+import os
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -32,6 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers
 
 #: Entries of each of the two generations of a worker's memory of chunks.
 MEMORY = 200_000
@@ -39,8 +42,43 @@ MEMORY = 200_000
 BATCH_BYTES = 16 << 20
 END = "</w>"
 
-# The pattern that the vocabulary file states for splitting words.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: All code points that a text may have.
+POINTS = [*range(0xD800), *range(0xE000, 0x110000)]
+
+
+def _ranges(points: list[int]) -> str:
+    """Rising code points as the inside of a pattern's class."""
+    p = np.array(points)
+    cut = np.flatnonzero(np.diff(p) > 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(p[[0, *(cut + 1)]].tolist(), p[[*cut, -1]].tolist()))
+
+
+def _class(name: str) -> str:
+    """The code points that the vocabulary's library has in a general category.
+
+    Python, the regex package and the library each have the tables of another version of
+    Unicode, so the library itself is asked once which of all code points it drops.
+    """
+    kept = normalizers.Replace(Regex(rf"[^\p{{{name}}}]+"), "").normalize_str("".join(map(chr, POINTS)))
+    return _ranges([ord(c) for c in kept])
+
+
+@functools.cache
+def words_pattern() -> regex.Pattern:
+    """The pattern that the vocabulary file states for splitting words, with the library's letters and numbers."""
+    letter, number = _class("L"), _class("N")
+    # The endings that are words of their own, from the vocabulary file.
+    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\s{letter}{number}]+")
+
+
+@functools.cache
+def unknown_pattern() -> regex.Pattern:
+    """Code points that Python's tables don't have, so that they are normalised by the library."""
+    return regex.compile(f"[{_ranges([c for c in POINTS if unicodedata.category(chr(c)) == 'Cn'])}]")
+
+
+#: What the vocabulary file states for normalising, but for white space, which is gone by then.
+NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 #: Python's str.split also splits at these four, which Unicode has not as white space.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"\p{White_Space}+")
@@ -68,6 +106,9 @@ class WordBPE:
         self.names = np.array([names.get(i, "") for i in range(max(names) + 1)], dtype=object)
         self.joined = self._inside()
         self.special_re = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        #: What every special token begins with: a text without it has none of them.
+        self.mark = os.path.commonprefix(list(self.special))
+        self.find_words, self.find_unknown = words_pattern().findall, unknown_pattern().search
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.fragments: dict[str, list[int]] = {}
@@ -158,7 +199,8 @@ class WordBPE:
         found = self.old.get(chunk)
         if found is None:
             ids = array("i")
-            for w in WORDS.findall(chunk):
+            known = chunk.isascii() or not self.find_unknown(chunk)
+            for w in self.find_words(chunk if known else NORMAL.normalize_str(chunk)):
                 ids.extend(self.word(w))
             found = ids.tobytes()
         if len(chunk) <= 64:
@@ -183,7 +225,7 @@ class WordBPE:
         """The ids as 32-bit integers in the machine's order."""
         if not text:
             return b""
-        if self.special_re is None or "<|" not in text:
+        if self.special_re is None or self.mark not in text:
             return self._plain(text)
         out, at = [], 0
         for m in self.special_re.finditer(text):

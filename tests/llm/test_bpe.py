@@ -31,6 +31,31 @@ def test_random_texts_as_the_library(both):
         same(both, "".join(draw.choice(pieces) for _ in range(draw.randint(0, 14))))
 
 
+def test_every_code_point_as_the_library(both):
+    """Alone between letters and beside a digit, in batches; all planes but the surrogates."""
+    import numpy as np
+
+    library, own = both
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b{c}{c}1 {c}" for c in points[:0x30000]] + ["".join(f"a{c}1" for c in points[i : i + 512]) for i in range(0x30000, len(points), 512)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t[:8] for t, ids in zip(texts, want) if np.frombuffer(own.encode(t), np.int32).tolist() != ids]
+    assert not wrong, (len(wrong), wrong[:20])
+
+
+def test_special_tokens_of_other_looks(both, tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for k, name in enumerate(("[stop]", "##")):
+        spec["added_tokens"].append({**spec["added_tokens"][0], "id": 49408 + k, "content": name})
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    other = Tokenizer.from_file(str(path)), bpe.WordBPE(str(path))
+    for text in ("x[stop]y", "## a ###", "<|endoftext|>##[stop]", "[stop", "A[STOP]"):
+        same(other, text)
+
+
 def test_edges_and_long_words(both):
     for text in (None, "", " \n ", "a" * 5000, "thing" * 2000, "ab" * 4000, "<|startoftext|>x<|endoftext|>"):
         same(both, text)
