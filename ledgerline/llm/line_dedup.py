@@ -10,18 +10,20 @@ Lines are ordered by doc_id, row and line number. A row is known by its doc_id a
 text, so rows that repeat a doc_id with other texts are documents of their own, in the order of
 these hashes.
 
-1. Lines become 128-bit digests; a grouped minimum finds each one's earliest place.
+1. Lines become 128-bit digests; a grouped minimum finds each one's earliest place. Lines that are
+   over 1 / ``HOT`` of all, fewer than ``HOT`` whatever the table, meet theirs by broadcast, so
+   their copies stay where they are.
 2. Of two lines within the bound, either the first or the second half of the words is
    untouched, so a line whose halves (cut as for its own length and for one word less)
    are shared with no other is left out here, losing nothing.
-3. The rest emit the hashed key of each variant with one word deleted. A key is a sum over
-   pairs of neighbouring words, so it costs the same for any length of line. Lines with
-   equal keys at the same place differ in the word there: each is compared with the
-   group's earliest only. A full line with the key of a longer line's variant is that line
-   with a word left out.
+3. The rest emit the hashed key of each variant with one word deleted, and their own. A key is a sum
+   over pairs of neighbouring words, so it costs the same for any length of line. Keys that occur
+   once go. Lines with equal keys at the same place differ in the word there: each is compared
+   with the group's earliest only. A full line with the key of a longer line's variant is that
+   line with a word left out.
 4. Every pair that a key brings is verified word by word.
 
-Keys of 61 bits can collide by chance: a false pair is refused by the check, and the chance
+Keys of 61 to 64 bits can collide by chance: a false pair is refused by the check, and the chance
 that one hides a true pair is of the order of lines x words / 2^61.
 
 Defined results: lines without a word, and null texts, are kept as they are. Rows of one
@@ -37,10 +39,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, words
+from .common import BLANKS, Scratch, words
 
 MIN_WORDS = 8
 BREAK = "\n"
+HOT = 4096
 
 
 #: What a line's place is made of, in order: the row's doc_id and hash, and the number of the line.
@@ -55,20 +58,25 @@ def _row(doc_id: str, text: str) -> list[Column]:
 
 
 def _lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The row, line_no and words of every line that has a word."""
+    """The place, words with one space between (c) and their number (n) of every line that has a word."""
     cut = df.select(*_row(doc_id, text), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), BREAK)).alias("line_no", "line"))
-    return cut.select(*PLACE, words(F.col("line")).alias("w")).where(F.size("w") > 0)
+    flat = F.col("line")
+    for blank in BLANKS.replace(" ", "").replace(BREAK, ""):
+        flat = F.replace(flat, F.lit(blank), F.lit(" "))
+    bare = cut.select(*PLACE, F.trim(flat).alias("c")).where("c <> ''")
+    wide = F.array_join(F.array_remove(F.split("c", " "), ""), " ")
+    one = bare.withColumn("c", F.when(F.instr("c", "  ") > 0, wide).otherwise(F.col("c")))
+    return one.withColumn("n", F.octet_length("c") - F.octet_length(F.replace(F.col("c"), F.lit(" "))) + 1)
 
 
-def _halves(n: Column) -> Column:
-    """Tagged hashes of both halves, as a line of n words and as the longer one of n - 1."""
+def _halves() -> Column:
+    """Hashes of both halves of a line of n words c, as such and as the longer one of n - 1."""
     parts = []
     for less in (0, 1):
-        short = n - less
+        short = F.col("n") - less
         first = F.floor(short / 2).cast("int")
-        second = short - first
-        parts.append(F.struct(short.alias("n"), F.lit(0).alias("side"), F.xxhash64(F.slice("w", F.lit(1), first)).alias("h")))
-        parts.append(F.struct(short.alias("n"), F.lit(1).alias("side"), F.xxhash64(F.slice("w", n - second + 1, second)).alias("h")))
+        parts.append(F.xxhash64(short, F.lit(0), F.call_function("substring_index", "c", F.lit(" "), first)))
+        parts.append(F.xxhash64(short, F.lit(1), F.call_function("substring_index", "c", F.lit(" "), first - short)))
     return F.array(*parts)
 
 
@@ -109,20 +117,20 @@ def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_wo
     scratch = Scratch(df.sparkSession, "line-dedup")
     place = F.struct(*PLACE)
     lines = _lines(df, doc_id, text)
-    digest = lines.select(*PLACE, F.size("w").alias("n"), F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), F.col("w")).alias("k2"), F.when(F.size("w") >= min_words - 1, _halves(F.size("w"))).alias("halves"))
+    digest = lines.select(*PLACE, F.xxhash64("c").alias("k1"), F.xxhash64(F.lit(1), F.col("c")).alias("k2"), F.when(F.col("n") >= min_words - 1, _halves()).alias("halves"))
     digest = scratch.write(digest, "digest")
-    first = digest.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("c"))
-    twice = first.where("c > 1")
-    equal = digest.select(*PLACE, "k1", "k2").join(twice.drop("c"), ["k1", "k2"]).where(place != F.col("first"))
-    equal = scratch.write(equal.select(*PLACE, "k1", "k2", "first"), "equal")
+    key = ["k1", "k2"]
+    first = scratch.write(digest.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1"), "first")
+    hot = F.broadcast(first.where(F.col("c") * HOT > digest.count()).drop("c"))  # fewer than HOT rows
+    placed = digest.select(*PLACE, *key)
+    equal = placed.join(hot, key).unionByName(placed.join(hot, key, "left_anti").join(first.drop("c"), key)).where(place != F.col("first"))
+    equal = scratch.write(equal.select(*PLACE, "first"), "equal")
 
     # distinct lines that share a half with another one
     gone = equal.select(*PLACE)
-    alone = digest.where(F.col("halves").isNotNull()).join(gone, PLACE, "left_anti").select(*PLACE, "n", F.explode("halves").alias("half"))
-    alone = alone.select(*PLACE, "half.*")
-    shared = alone.groupBy("n", "side", "h").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a != z")
-    near = alone.join(shared.select("n", "side", "h"), ["n", "side", "h"], "left_semi").select(*PLACE).distinct()
-    near = scratch.write(near, "near")
+    alone = digest.where(F.col("halves").isNotNull()).join(gone, PLACE, "left_anti").select(*PLACE, F.explode("halves").alias("h"))
+    shared = alone.groupBy("h").count().where("count > 1").select("h")
+    near = scratch.write(alone.join(shared, "h", "left_semi").select(*PLACE).distinct(), "near")
     wanted = near.groupBy(*ROW).agg(F.collect_set("line_no").alias("__wanted"))
     texts = df.select(*_row(doc_id, text), F.col(text).alias("text")).join(wanted.hint("shuffle_hash"), ROW)
     # a line is taken by its number from a column, so a text of many lines costs no search for each
@@ -132,12 +140,15 @@ def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_wo
     keyed = scratch.write(_keys(found.withColumn("n", F.size("w"))), "keyed")
 
     # equal variants: replaced words meet at the same place, a word left out meets the full line
-    variants = keyed.select(*PLACE, "n", F.posexplode("cut").alias("i", "key"))
-    starred = variants.groupBy("n", "i", "key").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    replaced = variants.join(starred, ["n", "i", "key"]).where(place != F.col("first")).select(place.alias("a"), F.col("first").alias("b"))
-    full = keyed.select(place.alias("a"), F.col("n"), F.col("full").alias("key"))
-    longer = variants.select(place.alias("b"), (F.col("n") - 1).alias("n"), "key")
-    left_out = full.join(longer, ["n", "key"]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    whole = keyed.select(*PLACE, F.lit(-1).alias("i"), F.xxhash64("n", "full").alias("key"))
+    variants = keyed.select(*PLACE, F.posexplode(F.transform("cut", lambda k: F.xxhash64(F.col("n") - 1, k))).alias("i", "key"))
+    every = whole.unionByName(variants)
+    met = scratch.write(every.join(every.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), "met")
+    starred = met.where("i >= 0").groupBy("key", "i").agg(F.min(place).alias("first"))
+    replaced = met.join(starred, ["key", "i"]).where(place != F.col("first")).select(place.alias("a"), F.col("first").alias("b"))
+    full = met.where("i < 0").select(place.alias("a"), "key")
+    longer = met.where("i >= 0").select(place.alias("b"), "key")
+    left_out = full.join(longer, "key").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = scratch.write(replaced.unionByName(left_out).distinct(), "pairs")
     w = keyed.select(place.alias("p"), "w", "n")
     checked = pairs.join(w.select(F.col("p").alias("a"), F.col("w").alias("wa"), F.col("n").alias("na")), "a").join(w.select(F.col("p").alias("b"), F.col("w").alias("wb"), F.col("n").alias("nb")), "b")
