@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space and the ASCII controls 9 to 13.
@@ -81,6 +81,38 @@ def one_each(docs: DataFrame, scratch: Scratch, name: str = "ids") -> tuple[Data
     return docs, int(total)
 
 
+#: A key is hot that over 1 / HOT of all rows have; so fewer than HOT keys are.
+HOT = 4096
+
+
+def meet(rows: DataFrame, of: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with of, which has one row for each value of keys and c, the number of its rows among the total.
+
+    Hot values, fewer than HOT of them in any table, are broadcast, so their rows stay where they are.
+    """
+    hot = F.broadcast(of.where(F.col("c") * HOT > total).drop("c"))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(of.drop("c"), keys))
+
+
+def numbered(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """(doc, text) with a number for each document of a doc_id, in their order, and (doc, doc_id, row, only) where numbers aren't the doc_ids.
+
+    Numbers are the doc_ids unless some repeat, which a grouped count of hashes finds. Then rows of
+    one doc_id and text are one document, and those of one doc_id are in the order of their texts'
+    hashes, row; only says that it is its doc_id's only text.
+    """
+    docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    row = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = scratch.write(docs.select("doc", row.alias("row")).groupBy("doc", "row").count(), "rows")
+    if rows.groupBy("doc").agg(F.sum("count").alias("n")).where("n > 1").isEmpty():
+        return docs, None
+    several = F.count("*").over(Window.partitionBy("doc")) > 1
+    # numbers of a sorted table rise with its order
+    names = scratch.write(rows.withColumn("only", ~several).orderBy("doc", "row").select(F.monotonically_increasing_id().alias("number"), F.col("doc").alias("doc_id"), "row", "only"), "names")
+    one = docs.withColumn("row", row).join(names.select("number", F.col("doc_id").alias("doc"), "row"), ["doc", "row"]).select("number", "text").dropDuplicates(["number"])
+    return scratch.write(one.withColumnRenamed("number", "doc"), "documents"), names.withColumnRenamed("number", "doc")
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none of a null one. JVM only, and by plain searches, as patterns cost more."""
     flat = F.coalesce(text, F.lit(""))

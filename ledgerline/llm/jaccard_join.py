@@ -41,12 +41,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import Scratch, one_each, shuffle_partitions
+from .common import Scratch, meet, one_each, shuffle_partitions
 from .components import components
 
 WIDTH = 5
 #: Tokens of a range, and of a block that is packed at once, about; bytes of a text to a token.
-RANGE_TOKENS, BLOCK_TOKENS, TOKEN_BYTES = 1 << 21, 1 << 22, 6
+RANGE_TOKENS, BLOCK_TOKENS, TOKEN_BYTES = 1 << 21, 1 << 20, 6
 #: Bits of a fingerprint beyond those that number the tokens.
 SPARE_BITS = 8
 #: The least frequency that is looked up, and the most tokens that are.
@@ -264,8 +264,9 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFr
     form = layout(size)
     sets = scratch.write(_prefixes(docs, form, *frequent_tokens(docs, form, scratch)), "sets")
     light = ["doc_id", "n", "d1", "d2"]
-    of_class = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    classed = scratch.write(sets.where("n > 0").select(*light).join(of_class, ["n", "d1", "d2"]).select("doc_id", "n", "class_id"), "classes")
+    filled = sets.where("n > 0").select(*light)
+    of_class = scratch.write(filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("c")), "of-class")
+    classed = scratch.write(meet(filled, of_class, ["n", "d1", "d2"], filled.count()).select("doc_id", "n", "class_id"), "classes")
     reps = classed.where("doc_id = class_id").select("doc_id")
     heads = scratch.write(sets.where("n > 0").drop("d1", "d2", "prefix").join(reps, "doc_id", "left_semi"), "heads")
 

@@ -11,7 +11,7 @@ text, so rows that repeat a doc_id with other texts are documents of their own,
 these hashes.
 
 1. Lines become 128-bit digests; a grouped minimum finds each one's earliest place. Lines that are
-   over 1 / ``HOT`` of all, fewer than ``HOT`` whatever the table, meet theirs by broadcast, so
+   over 1 in ``common.HOT`` of all, fewer than that in any table, meet theirs by broadcast, so
    their copies stay where they are.
 2. Of two lines within the bound, either the first or the second half of the words is
    untouched, so a line whose halves (cut as for its own length and for one word less)
@@ -39,11 +39,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, words
+from .common import BLANKS, Scratch, meet, words
 
 MIN_WORDS = 8
 BREAK = "\n"
-HOT = 4096
 
 
 #: What a line's place is made of, in order: the row's doc_id and hash, and the number of the line.
@@ -121,9 +120,7 @@ def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_wo
     digest = scratch.write(digest, "digest")
     key = ["k1", "k2"]
     first = scratch.write(digest.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1"), "first")
-    hot = F.broadcast(first.where(F.col("c") * HOT > digest.count()).drop("c"))  # fewer than HOT rows
-    placed = digest.select(*PLACE, *key)
-    equal = placed.join(hot, key).unionByName(placed.join(hot, key, "left_anti").join(first.drop("c"), key)).where(place != F.col("first"))
+    equal = meet(digest.select(*PLACE, *key), first, key, digest.count()).where(place != F.col("first"))
     equal = scratch.write(equal.select(*PLACE, "first"), "equal")
 
     # distinct lines that share a half with another one

@@ -1,33 +1,38 @@
 """Substring dedup by collinear chaining of shared k-mer seeds.
 
-1. A document's seeds are the minimizers of its runs of ``K`` words: the least hash of
-   every ``WINDOW`` consecutive ones, so any run of K + WINDOW - 1 words that two documents
-   share has a seed in both. Every place of a seed counts.
-2. Each seed's earliest place, over all documents and over those of one of ``SALTS`` hash
-   classes, is found by a grouped minimum; every later place of the seed, of the same
-   document too, is matched with these two. So matches grow with the seeds, not with the
-   square of how many documents share one.
-3. Matches of two documents are chained in the order of both by dynamic programming with
-   gap costs over a Fenwick tree of prefix maxima, and chains are cut at gaps of over
-   ``GAP`` words. A chain has two seeds at least.
-4. Chains are aligned on the words: equal stretches between anchors, an edit distance within
-   a band where they differ, and extension over both ends while it pays. Spans of at
-   least ``IDENTITY`` are kept.
-5. Exact repeats don't hang on those two places. Each run of ``EXACT`` words (or
-   ``min_words``, if less) is a key of its own, so a run that any earlier document has is
-   matched with the earliest that has all of it. A shorter run from a minimizer on, of which
-   every such run has one within, says where to look: only runs about one that recurs are
-   keyed.
+1. A document's seeds are the minimizers of its runs of ``K`` words: the least hash of every
+   ``WINDOW`` consecutive ones, so any run of K + WINDOW - 1 words that two documents share has a
+   seed in both. Every place of a seed counts. Seeds that occur once go.
+2. Every place of a seed is matched with the seed's earliest place, found by a grouped minimum, so
+   matches grow with the seeds and not with the square of how many documents share one.
+3. Where the earliest places of neighbouring seeds aren't neighbours in one document, runs of 2, 4,
+   8, 16 and 32 seeds (with the distances between them) are keys of their own, matched with the
+   earliest place of the whole run. So every stretch of a passage is matched with a document that
+   has as much of it in a row, whatever others share less. Where they are neighbours, the
+   earliest place of the run is the same one, and nothing is sent.
+4. Matches of two documents are chained in the order of both by dynamic programming with
+   gap costs over a Fenwick tree of prefix maxima, apart where gaps of over ``GAP`` words or shifts
+   of over ``SHIFT`` divide them, and chains are cut at such gaps and shifts. A chain has two matches at least. Runs that overlap on one
+   diagonal are a chain of their own, too.
+5. Chains are aligned on the words, in pieces of one ``BLOCK`` of words of each side: equal stretches
+   word by word, an edit distance between matches where they shift, and extension over both ends
+   while it pays. Blocks are cut when the texts are read, so no text moves, and a piece is of bounded
+   size whatever the texts. Chains of at least ``IDENTITY`` over all their pieces are kept.
 6. Spans of a document that touch are one passage; those of ``min_words`` words or more
    are returned, with the share of their words that the spans match. ``n_others`` counts
    the documents that they were matched with, not all that have the passage.
 
+Keys that over 1 in ``common.HOT`` of all places share, fewer than that in any table, meet their
+earliest place by broadcast, and so do blocks that as many pieces ask for: a passage that a third
+of all documents have stays dealt out.
+
 Defined results: null and empty texts, and those under K words, have no seeds. Places count
 words (runs of other than space and the controls 9 to 13; A-Z count as a-z). The first
 document, by doc_id, that has a passage keeps it; later ones are reported. Within a document
 the first place keeps it, and a later one is reported if the two don't overlap; ``of_doc``
-is then the document itself. Rows that repeat a doc_id are one document, and places count
-within each row. Null doc_ids are left out. Other columns aren't read.
+is then the document itself, and each span counts only if it has ``min_words`` words. Rows that repeat a doc_id with other texts are documents of their own,
+in the order of their texts' hashes, which ``row`` names (null where a doc_id has one text); rows
+that are equal in both are one. Null doc_ids are left out. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -40,21 +45,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import Scratch, runs_of_keys
+from .common import Scratch, meet, numbered, runs_of_keys
 
-K, WINDOW = 6, 12
-SALTS = 8
+K, WINDOW = 5, 6
+#: Seeds of the runs that are keys.
+RUNS = (2, 4, 8, 16, 32)
 #: What a match earns and a word of gap costs in a chain, and the longest gap.
-GAIN, COST, GAP = 8.0, 0.2, 40
-#: Words looked at beyond both ends of a chain.
-REACH = 48
+GAIN, COST, GAP = 8.0, 0.1, 64
+#: Words put in or left out between two matches of a chain at most.
+SHIFT = 24
+#: Words looked at beyond both ends of a chain, and words of a block.
+REACH, BLOCK = 24, 128
 IDENTITY = 0.8
 #: Words of a chain, and of a passage, at least.
 MIN_CHAIN, MIN_WORDS = 16, 50
-#: Words of an exact run that is found whatever else shares parts of it.
-EXACT = MIN_WORDS
-#: Chains for which a document's words are cut out at once.
-AT_ONCE = 256
 U = np.uint64
 
 
@@ -73,68 +77,54 @@ def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at].view(np.int64), at.astype(np.int32)
 
 
-def anchors_of(words: np.ndarray, exact: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and places such that equal runs of exact words have an equal one at the same place, WINDOW - 1 words in at most."""
-    if exact < K + WINDOW - 1:
-        h = shingles.runs(words, exact)
-        return h.view(np.int64), np.arange(len(h), dtype=np.int32)
-    h = shingles.runs(words, exact - WINDOW + 1)
-    at = minimizers(shingles.runs(words, K))
-    at = at[at < len(h)]
-    return h[at].view(np.int64), at.astype(np.int32)
-
-
-def _keys(of):
-    """Rows (seed, doc_id, pos) of each text by a function of its words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for first, words, bounds in shingles.texts(batch.column(1)):
-                found = [of(words[a:b]) for a, b in zip(bounds, bounds[1:])]
-                n = [len(s) for s, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for s, _ in found])), pa.array(np.repeat(ids[first : first + len(n)], n)), pa.array(np.concatenate([p for _, p in found]))], names=["seed", "doc_id", "pos"])
-
-    return run
-
-
-def _runs(exact: int):
-    """Rows (run, doc_id, pos) of the runs of exact words that the anchors at a text's places may belong to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, places = batch.column(0).to_numpy(), batch.column(2)
-            for first, words, bounds in shingles.texts(batch.column(1)):
-                for i, (a, b) in enumerate(zip(bounds, bounds[1:]), first):
-                    h = shingles.runs(words[a:b], exact)
-                    at = np.unique((places[i].values.to_numpy()[:, None] - np.arange(WINDOW)).ravel())
-                    at = at[(at >= 0) & (at < len(h))]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), ids[i])), pa.array(at.astype(np.int32))], names=["run", "doc_id", "pos"])
-
-    return run
-
-
-def _joined(exact: int):
-    """Spans of matched runs (doc_id, pos, other, other_pos; sorted) that follow one another in both documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, pos, seed, null) for every seed, and (doc, number, null, words) for every block, as 16 bits a word with what stands around it."""
+    names = ["doc", "pos", "seed", "words"]
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for first, words, bounds in shingles.texts(batch.column(1)):
+            short = (words >> U(48)).astype(np.uint16)
+            found, blocks = [], []
+            for a, b in zip(bounds, bounds[1:]):
+                found.append(seeds_of(words[a:b]))
+                of = short[a:b]
+                blocks.append([of[max(0, s - REACH) : s + BLOCK + GAP + K + REACH].tobytes() for s in range(0, len(of), BLOCK)] if len(found[-1][0]) else [])
+            n, m = [len(s) for s, _ in found], [len(x) for x in blocks]
+            docs = ids[first : first + len(n)]
+            if sum(n):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs, n)), pa.array(np.concatenate([p for _, p in found])), pa.array(np.concatenate([s for s, _ in found])), pa.nulls(sum(n), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs, m)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in m])), pa.nulls(sum(m), pa.int64()), pa.array([x for block in blocks for x in block], pa.binary())], names=names)
+
+
+def _uneven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc, pos, len) of the runs of neighbouring seeds (sorted by doc, pos) whose earliest places aren't neighbours."""
+    steps = shingles.mix(np.arange(1, 2 * max(RUNS) + 1, dtype=U)) | U(1)
+    for table, bounds in runs_of_keys(batches, ["doc"]):
+        doc, pos, seed, of, at = (table.column(c).to_numpy() for c in ("doc", "pos", "seed", "of", "at"))
+        gap = np.diff(pos.astype(np.int64), append=0)
+        apart = np.ones(len(doc), bool)  # from the place before: another document, or too far to be one run
+        apart[1:] = (doc[1:] != doc[:-1]) | (gap[:-1] > GAP)
+        turn = np.zeros(len(doc), bool)
+        turn[1:] = (of[1:] != of[:-1]) | (np.diff(at.astype(np.int64) - pos) != 0)
+        before, turns = np.cumsum(apart), np.cumsum(turn)
+        h = shingles.mix(seed.view(U))
+        for n in RUNS:
+            m = len(doc) - n + 1
+            if m <= 0:
+                break
+            i = np.flatnonzero((before[n - 1 :] == before[:m]) & (turns[n - 1 :] > turns[:m]))
+            if len(i) == 0:
                 continue
-            d, x, o, y = (batch.column(i).to_numpy() for i in range(4))
-            new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (o[1:] != o[:-1]) | (np.diff(x) != 1) | (np.diff(y) != 1)
-            s = np.flatnonzero(new)
-            e = np.append(s[1:], len(d)) - 1
-            columns = [d[s], o[s], x[s], x[e] + np.int32(exact), y[s], y[e] + np.int32(exact), np.ones(len(s))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "other", "start", "stop", "other_start", "other_stop", "identity"])
-
-    return run
+            key = np.full(len(i), n, U)
+            for k in range(n):
+                key += h[i + k] * steps[2 * k]
+                if k < n - 1:
+                    key += gap[i + k].astype(U) * steps[2 * k + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.mix(key).view(np.int64)), pa.array(doc[i]), pa.array(pos[i]), pa.array((pos[i + n - 1] - pos[i] + K).astype(np.int32))], names=["seed", "doc", "pos", "len"])
 
 
 def chains_of(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Indices of the matches (x ascending) of each chain, the best first.
+    """Indices of the matches (x ascending) of each chain, the best first, before cuts at wide gaps.
 
     f(i) = GAIN + max over j before i in both of f(j) - COST x gaps; with COST by the sum of
     both coordinates, the maximum is one prefix query over ranks of y.
@@ -175,47 +165,90 @@ def chains_of(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
             chain.append(k)
             k = back[k]
         if chain:
-            c = np.array(chain[::-1])
-            wide = (np.diff(x[c]) > GAP) | (np.diff(y[c]) > GAP)
-            out += np.split(c, np.flatnonzero(wide) + 1)
+            out.append(np.array(chain[::-1]))
     return out
 
 
+def segments(x: np.ndarray, y: np.ndarray, length: np.ndarray) -> list[tuple[int, int, int]]:
+    """(x, y, words) of what matches that overlap or touch on one diagonal cover together."""
+    order = np.lexsort((x, x - y))
+    x, y, stop = x[order], y[order], x[order] + length[order]
+    out: list[list[int]] = []
+    for p, q, e in zip(x.tolist(), y.tolist(), stop.tolist()):
+        if out and out[-1][0] - out[-1][1] == p - q and p <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], e)
+        else:
+            out.append([p, q, e])
+    return [(p, q, e - p) for p, q, e in out]
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Matches in groups, x ascending, that no chain can cross: by shifts of over SHIFT, then by gaps of over GAP."""
+    lean = x - y
+    if lean.max() - lean.min() > SHIFT:
+        order = np.lexsort((y, x, lean))
+        cut = np.flatnonzero(np.diff(lean[order]) > SHIFT) + 1
+        bands = [g[np.lexsort((y[g], x[g]))] for g in np.split(order, cut)]
+    else:
+        bands = [np.arange(len(x))]
+    out = []
+    for g in bands:
+        cut = np.flatnonzero(np.diff(x[g]) > GAP + K) + 1
+        out += [(x[i], y[i]) for i in (np.split(g, cut) if len(cut) else [g]) if len(i) > 1]
+    return out
+
+
+def steady(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A chain without single matches off the diagonal of both their neighbours, cut at wide gaps and shifts."""
+    lean = x - y
+    if len(x) > 2:
+        off = (np.abs(lean[1:-1] - lean[:-2]) > 4) & (np.abs(lean[1:-1] - lean[2:]) > 4) & (np.abs(lean[2:] - lean[:-2]) <= 4)
+        if off.any():
+            keep = np.concatenate([[True], ~off, [True]])
+            x, y, lean = x[keep], y[keep], lean[keep]
+    wide = (np.diff(x) > GAP + K) | (np.diff(y) > GAP + K) | (np.abs(np.diff(lean)) > SHIFT)
+    if not wide.any():
+        return [(x, y)]
+    at = np.flatnonzero(wide) + 1
+    return list(zip(np.split(x, at), np.split(y, at)))
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table, bounds in runs_of_keys(batches, ["doc_id", "other"]):
-        d, o, x, y = (table.column(c).to_numpy() for c in ("doc_id", "other", "pos", "other_pos"))
+    """The chains of matches (sorted by doc, of, pos, at), in pieces of one block of each side; a piece ends where the next begins."""
+    for table, bounds in runs_of_keys(batches, ["doc", "of"]):
+        d, o, xs, ys, lens = (table.column(c).to_numpy() for c in ("doc", "of", "pos", "at", "len"))
         rows: list[tuple] = []
         for s, e in zip(bounds, bounds[1:]):
-            step = (np.diff(x[s:e]) > 0) & (np.diff(y[s:e]) > 0) & (np.diff(x[s:e]) <= GAP) & (np.diff(y[s:e]) <= GAP)
-            found = [np.arange(e - s)] if step.all() else chains_of(x[s:e], y[s:e])
-            for no, c in enumerate(found):
-                xs, ys = x[s:e][c], y[s:e][c]
-                if len(c) > 1:
-                    rows.append((d[s], o[s], no, xs, ys))
+            if e - s == 1 and lens[s] == K:
+                continue
+            x, y, n = xs[s:e].astype(np.int64), ys[s:e].astype(np.int64), lens[s:e]
+            found = []
+            if (long_ := n > K).any():
+                runs = segments(x[long_], y[long_], n[long_])
+                spread = [np.minimum(np.arange(0, z - K + 16, 16), z - K) for _, _, z in runs]
+                found = [(p + m, q + m) for (p, q, z), m in zip(runs, spread) if z >= MIN_CHAIN]
+                x, y = np.concatenate([x, *(p + m for (p, _, _), m in zip(runs, spread))]), np.concatenate([y, *(q + m for (_, q, _), m in zip(runs, spread))])
+                both = np.unique(x * (1 << 31) + y)
+                x, y = both >> 31, both & ((1 << 31) - 1)
+            for gx, gy in apart(x, y):
+                straight = ((np.diff(gx) > 0) & (np.diff(gy) > 0)).all()
+                found += [part for c in ([np.arange(len(gx))] if straight else chains_of(gx, gy)) for part in steady(gx[c], gy[c])]
+            for no, (px, py) in enumerate(found):
+                if len(px) < 2:
+                    continue
+                block = (px // BLOCK) * (1 << 31) + py // BLOCK
+                cut = [0, *(np.flatnonzero(np.diff(block)) + 1), len(px)]
+                for k, (i, j) in enumerate(zip(cut, cut[1:])):
+                    rows.append((d[s], o[s], no, px[i] // BLOCK, py[i] // BLOCK, k == 0, j == len(px), px[i : j + 1], py[i : j + 1]))
         if rows:
             cols = list(zip(*rows))
-            ends = pa.array(np.cumsum([0, *map(len, cols[3])], dtype=np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c).astype(np.int32))) for c in cols[3:]]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), *lists], names=["doc_id", "other", "no", "xs", "ys"])
+            ends = pa.array(np.cumsum([0, *map(len, cols[7])], dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c).astype(np.int32))) for c in cols[7:]]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), *lists], names=["doc", "of", "no", "x", "y", "first", "last", "xs", "ys"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hashed words of every span that is asked of a text."""
-    for batch in batches:
-        asked = batch.column(batch.schema.get_field_index("asked"))
-        for first, words, bounds in shingles.texts(batch.column(batch.schema.get_field_index("text"))):
-            rows = []
-            for i, (a, b) in enumerate(zip(bounds, bounds[1:]), first):
-                low = (words[a:b] >> U(32)).astype(np.uint32).view(np.int32)
-                for q in asked[i].as_py():
-                    start = max(0, q["low"] - REACH)
-                    rows.append((q["d"], q["o"], q["no"], q["left"], start, low[start : q["high"] + K + REACH]))
-            if not rows:
-                continue
-            cols = list(zip(*rows))
-            ends = pa.array(np.cumsum([0, *map(len, cols[5])], dtype=np.int32))
-            flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(cols[5])))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3]), pa.array(cols[4], pa.int32()), flat], names=["doc_id", "other", "no", "left", "start", "words"])
+PIECES = "doc long, of long, no int, x int, y int, first boolean, last boolean, xs array<int>, ys array<int>"
 
 
 def _edits(a: np.ndarray, b: np.ndarray) -> int:
@@ -242,113 +275,109 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return (at + 1, int((~equal[: at + 1]).sum())) if run[at] > 0 else (0, 0)
 
 
-def align(xs: np.ndarray, ys: np.ndarray, a: np.ndarray, a0: int, b: np.ndarray, b0: int) -> tuple[int, int, int, int, float]:
-    """(start, stop) in both texts and the share of words that match; a: words from a0 on."""
+def align(xs: np.ndarray, ys: np.ndarray, first: bool, last: bool, a: np.ndarray, a0: int, b: np.ndarray, b0: int) -> tuple[int, int, int, int, int]:
+    """(start, stop) in both texts and the words between that don't match; a: words from a0 on.
+
+    A piece reaches from its first match to its last, which the next piece begins with, and
+    beyond the matches where the chain begins or ends.
+    """
     x, y = xs - a0, ys - b0
-    edits = 0
-    u, v = int(x[0]), int(y[0])  # all before is aligned
-    for i in range(len(x)):
-        p, q = int(x[i]), int(y[i])
-        if p > u or q > v:
-            g, h = a[u : max(p, u)], b[v : max(q, v)]
-            edits += _edits(g, h)
-        elif p - u != q - v:  # seeds overlap by different numbers of words
-            edits += abs((p - u) - (q - v))
-        u, v = max(u, p + K), max(v, q + K)
-    more, wrong = _extend(a[u:], b[v:])
-    less, bad = _extend(a[: int(x[0])][::-1], b[: int(y[0])][::-1])
-    start, stop, other, until = int(x[0]) - less, u + more, int(y[0]) - less, v + more
-    length = max(stop - start, until - other)
-    return a0 + start, a0 + stop, b0 + other, b0 + until, 1 - (edits + wrong + bad) / max(1, length)
+    start, other, stop, until = int(x[0]), int(y[0]), int(x[-1]), int(y[-1])
+    if last:
+        stop, until = stop + K, until + K
+    if stop - start == until - other and (x - y == x[0] - y[0]).all():
+        edits = int((a[start:stop] != b[other:until]).sum())
+    else:
+        edits = sum(_edits(a[p:q], b[r:t]) for p, q, r, t in zip(x, x[1:], y, y[1:]))
+        edits += int((a[x[-1] : stop] != b[y[-1] : until]).sum())
+    if last:
+        more, wrong = _extend(a[stop : stop + REACH], b[until : until + REACH])
+        stop, until, edits = stop + more, until + more, edits + wrong
+    if first:
+        less, wrong = _extend(a[max(0, start - REACH) : start][::-1], b[max(0, other - REACH) : other][::-1])
+        start, other, edits = start - less, other - less, edits + wrong
+    return a0 + start, a0 + stop, b0 + other, b0 + until, edits
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "other", "start", "stop", "other_start", "other_stop", "identity"]
     for batch in batches:
-        c = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-        lists = {n: (c[n].values.to_numpy(), c[n].offsets.to_numpy()) for n in ("xs", "ys", "aw", "bw")}
-        a0, b0 = c["a0"].to_numpy(), c["b0"].to_numpy()
+        c = {n: batch.column(n) for n in batch.schema.names}
+        plain = [c[n].to_numpy(zero_copy_only=False) for n in ("x", "y", "first", "last")]
+        words = [c[n].to_pylist() for n in ("a", "b")]
+        lists = [(c[n].values.to_numpy(), c[n].offsets.to_numpy()) for n in ("xs", "ys")]
         rows = []
         for i in range(batch.num_rows):
-            xs, ys, a, b = (v[o[i] : o[i + 1]] for v, o in lists.values())
-            rows.append(align(xs, ys, a, int(a0[i]), b, int(b0[i])))
+            xs, ys = (v[o[i] : o[i + 1]] for v, o in lists)
+            x, y, first, last = (p[i] for p in plain)
+            rows.append(align(xs, ys, first, last, np.frombuffer(words[0][i], np.uint16), max(0, int(x) * BLOCK - REACH), np.frombuffer(words[1][i], np.uint16), max(0, int(y) * BLOCK - REACH)))
         cols = list(zip(*rows)) if rows else [()] * 5
-        arrays = [c["doc_id"], c["other"], *(pa.array(v, pa.int32()) for v in cols[:4]), pa.array(cols[4], pa.float64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-
-SPAN = "doc_id long, other long, start int, stop int, other_start int, other_stop int, identity double"
-
-
-def documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-
-
-def earlier(first: str, length: int) -> Column:
-    """Is a place of so many words one of an earlier document, or before this one in the same?"""
-    return (F.col(f"{first}.doc_id") < F.col("doc_id")) | ((F.col(f"{first}.doc_id") == F.col("doc_id")) & (F.col(f"{first}.pos") + length <= F.col("pos")))
-
-
-def repeats(df: DataFrame, scratch: Scratch, exact: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The spans of all runs of exact words that stand at an earlier place, each matched with the earliest of the run."""
-    docs = documents(df, doc_id, text)
-    place = F.struct("doc_id", "pos")
-    twice = lambda rows, key: rows.groupBy(key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
-    anchors = docs.where(F.octet_length("text") > 2 * exact - 2).mapInArrow(_keys(lambda w: anchors_of(w, exact)), "seed long, doc_id long, pos int")
-    places = scratch.write(anchors.join(twice(anchors, "seed").select("seed"), "seed").groupBy("doc_id").agg(F.collect_set("pos").alias("places")), "places")
-    runs = scratch.write(docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_runs(exact), "run long, doc_id long, pos int"), "runs")
-    met = runs.join(twice(runs, "run"), "run").where(earlier("first", exact)).select("doc_id", "pos", F.col("first.doc_id").alias("other"), F.col("first.pos").alias("other_pos"))
-    found = scratch.write(met.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(_joined(exact), SPAN), "repeats")
-    scratch.drop("runs")
-    return found
-
-
-def spans(df: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, other, start, stop, other_start, other_stop, identity): aligned chains of a document with an earlier one."""
-    docs = documents(df, doc_id, text)
-    seeds = docs.where(F.octet_length("text") > 2 * K - 2).mapInArrow(_keys(seeds_of), "seed long, doc_id long, pos int")
-    place = F.struct("doc_id", "pos")
-    # seeds of two places at least, with their earliest; the others go before anything else is kept of them
-    lead = seeds.groupBy("seed").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
-    salt = F.pmod(F.hash("doc_id"), F.lit(SALTS))
-    met = scratch.write(seeds.join(lead.drop("last"), "seed").withColumn("salt", salt), "met")
-    near = met.groupBy("seed", "salt").agg(F.min(place).alias("near"))
-    both = met.join(near, ["seed", "salt"]).select("doc_id", "pos", F.array_distinct(F.array("first", "near")).alias("with"))
-    matches = both.select("doc_id", "pos", F.explode("with").alias("w")).where(earlier("w", K))
-    matches = matches.select("doc_id", F.col("w.doc_id").alias("other"), "pos", F.col("w.pos").alias("other_pos"))
-    order = ["doc_id", "other", "pos", "other_pos"]
-    chains = scratch.write(matches.repartition("doc_id", "other").sortWithinPartitions(*order).mapInArrow(_chains, "doc_id long, other long, no int, xs array<int>, ys array<int>"), "chains")
-
-    ends = lambda c: (F.element_at(c, 1).alias("low"), F.element_at(c, -1).alias("high"))
-    key = [F.col("doc_id").alias("d"), F.col("other").alias("o"), "no"]
-    ask = chains.select(F.col("doc_id").alias("of"), *key, F.lit(True).alias("left"), *ends("xs")).union(chains.select(F.col("other"), *key, F.lit(False), *ends("ys")))
-    many = ask.groupBy("of").agg(F.ceil(F.count("*") / AT_ONCE).alias("salts"))
-    dealt = ask.join(many, "of").withColumn("salt", F.pmod(F.xxhash64("d", "o", "no", "left"), F.col("salts")))
-    asked = scratch.write(dealt.groupBy("of", "salt").agg(F.collect_list(F.struct("d", "o", "no", "left", "low", "high")).alias("asked")), "asked")
-    cut = docs.join(asked, F.col("doc_id") == F.col("of")).select("text", "asked").mapInArrow(_cut, "doc_id long, other long, no int, left boolean, start int, words array<int>")
-    cut = scratch.write(cut, "cut")
-    on = ["doc_id", "other", "no"]
-    a = cut.where("left").select(*on, F.col("start").alias("a0"), F.col("words").alias("aw"))
-    b = cut.where("not left").select(*on, F.col("start").alias("b0"), F.col("words").alias("bw"))
-    both = chains.join(a, on).join(b, on).select("doc_id", "other", "xs", "ys", "a0", "aw", "b0", "bw")
-    aligned = both.mapInArrow(_aligned, SPAN)
+        yield pa.RecordBatch.from_arrays([c["doc"], c["of"], c["no"], *(pa.array(v, pa.int32()) for v in cols)], names=["doc", "of", "no", "start", "stop", "other_start", "other_stop", "edits"])
+
+
+def earliest(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """rows (seed, doc, pos and others) of seeds that have two places or more, with the earliest: of, at."""
+    counts = scratch.write(rows.groupBy("seed").agg(F.min("doc").alias("of"), F.count("*").alias("c")).where("c > 1"), f"{name}-counts")
+    total = rows.count()
+    met = scratch.write(meet(rows, counts, ["seed"], total), f"{name}-met")
+    place = scratch.write(met.where("doc = of").groupBy("seed").agg(F.min("pos").alias("at")).join(counts.select("seed", "c"), "seed"), f"{name}-first")
+    return scratch.write(meet(met, place, ["seed"], total), name)
+
+
+def with_blocks(pieces: DataFrame, blocks: DataFrame, doc: str, number: str, words: str, scratch: Scratch) -> DataFrame:
+    """pieces with the words of the block that doc and number name."""
+    key = [doc, number]
+    one = blocks.select(F.col("doc").alias(doc), F.col("pos").alias(number), F.col("words").alias(words))
+    asked = scratch.write(pieces.groupBy(*key).agg(F.count("*").alias("c")).join(one, key), f"blocks-{words}")
+    return meet(pieces, asked, key, pieces.count())
+
+
+def earlier(length: Column) -> Column:
+    """Is (of, at) a place of an earlier document, or before doc and pos in the same?"""
+    return (F.col("of") < F.col("doc")) | ((F.col("of") == F.col("doc")) & (F.col("at") + length <= F.col("pos")))
+
+
+def spans(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, of, start, stop, other_start, other_stop, identity): aligned chains of a document (doc, text) with an earlier one."""
+    marks = scratch.write(docs.where(F.octet_length("text") > 2 * K - 2).mapInArrow(_marks, "doc long, pos int, seed long, words binary"), "marks")
+    seeds = earliest(marks.where("seed is not null").select("seed", "doc", "pos"), scratch, "seeds")
+    runs = scratch.write(seeds.repartition("doc").sortWithinPartitions("doc", "pos").mapInArrow(_uneven, "seed long, doc long, pos int, len int"), "runs")
+    longer = earliest(runs, scratch, "runs-placed")
+    both = seeds.select("doc", "of", "pos", "at", F.lit(K).alias("len")).unionByName(longer.select("doc", "of", "pos", "at", "len"))
+    matches = both.where(earlier(F.col("len")))
+    order = ["doc", "of", "pos", "at"]
+    pieces = scratch.write(matches.repartition("doc", "of").sortWithinPartitions(*order).mapInArrow(_chains, PIECES), "pieces")
+    blocks = marks.where("words is not null").select("doc", "pos", "words")
+    left = scratch.write(with_blocks(pieces, blocks, "doc", "x", "a", scratch), "left")
+    full = with_blocks(left, blocks, "of", "y", "b", scratch).select("doc", "of", "no", "x", "y", "first", "last", "xs", "ys", "a", "b")
+    aligned = full.mapInArrow(_aligned, "doc long, of long, no int, start int, stop int, other_start int, other_stop int, edits int")
+    ends = [F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("other_start").alias("other_start"), F.max("other_stop").alias("other_stop")]
+    whole = aligned.groupBy("doc", "of", "no").agg(*ends, F.sum("edits").alias("edits")).drop("no")
+    length = F.greatest(F.col("stop") - F.col("start"), F.col("other_stop") - F.col("other_start"))
+    whole = whole.withColumn("identity", 1 - F.col("edits") / length).drop("edits")
     # a span and the earlier place in its own document, both extended, are cut back to where they don't overlap
-    over = F.when(F.col("doc_id") == F.col("other"), F.greatest(F.col("other_stop") - F.col("start"), F.lit(0))).otherwise(0)
-    aligned = aligned.withColumn("over", over).withColumns({c: F.col(c) - F.col("over") for c in ("stop", "other_stop")}).drop("over")
-    return aligned.where((F.col("identity") >= IDENTITY) & (F.col("stop") - F.col("start") >= MIN_CHAIN))
+    over = F.when(F.col("doc") == F.col("of"), F.greatest(F.col("other_stop") - F.col("start"), F.lit(0))).otherwise(0)
+    whole = whole.withColumn("over", over).withColumns({c: F.col(c) - F.col("over") for c in ("stop", "other_stop")}).drop("over")
+    least = F.when(F.col("doc") == F.col("of"), min_words).otherwise(min(MIN_CHAIN, min_words))
+    return whole.where((F.col("identity") >= IDENTITY) & (F.col("stop") - F.col("start") >= least))
 
 
 def passages(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, of_doc, n_others, identity): passages that an earlier document has."""
+    """(doc_id, row, start_word, end_word, n_words, of_doc, n_others, identity): passages that an earlier document has."""
     scratch = Scratch(df.sparkSession, "substrings")
-    exact = repeats(df, scratch, min(EXACT, max(1, min_words)), doc_id=doc_id, text=text)
-    found = scratch.write(spans(df, scratch, doc_id=doc_id, text=text).unionByName(exact), "spans")
+    docs, names = numbered(df, scratch, doc_id, text)
+    found = scratch.write(spans(docs, scratch, min_words), "spans")
     # spans that overlap or touch within a document; its spans are as many as its seeds at most
-    order = Window.partitionBy("doc_id").orderBy("start", "stop", "other")
+    order = Window.partitionBy("doc").orderBy("start", "stop", "of")
     before = found.withColumn("reach", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     run = before.withColumn("run", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(order))
-    merged = run.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("other").alias("of_doc"), F.countDistinct("other").alias("n_others"),
-        (F.sum(F.col("identity") * (F.col("stop") - F.col("start"))) / F.sum(F.col("stop") - F.col("start"))).alias("identity"),
-    )
-    return merged.where(F.col("end_word") - F.col("start_word") >= min_words).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "of_doc", "n_others", "identity")
+    size = F.col("stop") - F.col("start")
+    merged = run.groupBy("doc", "run").agg(
+        F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("of").alias("of"), F.countDistinct("of").alias("n_others"),
+        (F.sum(F.col("identity") * size) / F.sum(size)).alias("identity"),
+    ).withColumn("n_words", F.col("end_word") - F.col("start_word")).where(F.col("n_words") >= min_words)
+    if names is None:
+        out = merged.withColumns({"doc_id": F.col("doc"), "row": F.lit(None).cast("long"), "of_doc": F.col("of")})
+    else:
+        of = names.select("doc", "doc_id", F.when(~F.col("only"), F.col("row")).alias("row"))
+        out = merged.join(of, "doc").join(names.select(F.col("doc").alias("of"), F.col("doc_id").alias("of_doc")), "of")
+    return out.select("doc_id", "row", "start_word", "end_word", "n_words", "of_doc", "n_others", "identity")

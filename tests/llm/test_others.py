@@ -9,6 +9,8 @@ import numpy as np
 import corpus_pipeline
 from ledgerline.llm import language_id, license_scan, mixing, quality_cnn, registry, substring_dedup
 
+from .test_jaccard_join import brute as jaccard_brute
+from .test_line_dedup import brute as line_brute
 from .texts import corpus, prose, words
 
 DATA = "/root/testdata/sf0.001"
@@ -127,6 +129,72 @@ def test_passages_twice_in_a_document(spark):
     assert len(got) == len(want) and all(g[0] == w[0] and g[3] == w[3] and abs(g[1] - w[1]) <= 2 and abs(g[2] - w[2]) <= 2 for g, w in zip(got, want))
 
 
+def test_a_passage_among_many_shares_of_its_parts(spark):
+    """Eleven later copies of 240 words are found whole, though 29 earlier documents lead its parts."""
+    draw = random.Random(21)
+    own = lambda n: prose(draw, n, 9000)
+    for part in (13, 15, 30):
+        p = own(240)
+        rows = [(k, " ".join(own(20) + p[8 * k : 8 * k + part] + own(20))) for k in range(29)]
+        rows += [(100 + k, " ".join(own(30) + p + own(30))) for k in range(12)]
+        out = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+        assert set(range(101, 112)) <= set(out.index) and (out.n_words[list(range(101, 112))] >= 239).all() and (out.start_word[list(range(101, 112))] <= 31).all()
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Words of passages with replaced, left out and put in words that are found, pair by pair against the edits that were made."""
+    draw = random.Random(22)
+    own = lambda n: prose(draw, n, 20_000)
+    rates, rows, truth = (0.05, 0.1, 0.15, 0.18), [], {}
+    for i in range(400):
+        p, rate = own(draw.randint(60, 160)), rates[i % 4]
+        fuzzy, edits = [], 0
+        for w in p:
+            if draw.random() < rate:
+                edits += 1
+                fuzzy += [[], [f"n{draw.randrange(20_000)}"], [w, f"n{draw.randrange(20_000)}"]][draw.choice([0, 1, 1, 1, 1, 2])]
+            else:
+                fuzzy.append(w)
+        head = draw.randint(10, 60)
+        rows += [(2 * i, " ".join(own(30) + p + own(30))), (2 * i + 1, " ".join(own(head) + fuzzy + own(30)))]
+        if edits <= 0.2 * max(len(p), len(fuzzy)):  # others are below the operator's identity
+            truth[2 * i + 1] = (rate, head, head + len(fuzzy))
+    found = {r["doc_id"]: (r["start_word"], r["end_word"]) for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {r: [] for r in rates}
+    for i, (rate, start, stop) in truth.items():
+        s, e = found.get(i, (0, 0))
+        recall[rate].append(max(0, min(e, stop) - max(s, start)) / (stop - start))
+    mean = {r: float(np.mean(v)) for r, v in recall.items()}
+    print(mean)
+    assert not [i for i in found if i % 2 == 0]
+    assert mean[0.05] > 0.97 and mean[0.1] > 0.95 and mean[0.15] > 0.9
+
+
+def test_passages_of_repeated_ids(spark):
+    """Rows of one doc_id with other texts are documents each; equal rows are one."""
+    draw = random.Random(23)
+    own = lambda n: prose(draw, n, 9000)
+    p, q = own(120), own(120)
+    rows = [(1, " ".join(p + own(9))), (2, " ".join(q)), (5, " ".join(own(10) + p)), (5, " ".join(own(20) + q)), (7, " ".join(own(80))), (7, None)]
+    rows += rows[2:3] * 3 + [(None, " ".join(p))]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, seed string, pos int")
+    out = substring_dedup.passages(df).toPandas()
+    assert out.doc_id.tolist() == [5, 5] and sorted(out.of_doc) == [1, 2] and out.row.nunique() == 2 and (out.n_words >= 120).all()
+
+
+def test_alignment_of_pieces_by_brute_force():
+    draw = random.Random(5)
+    for _ in range(200):
+        a = np.array([draw.randrange(3) for _ in range(draw.randint(0, 9))])
+        b = np.array([draw.randrange(3) for _ in range(draw.randint(0, 9))])
+        row = list(range(len(b) + 1))
+        for i in range(len(a)):
+            last, row[0] = row[0], i + 1
+            for j in range(len(b)):
+                last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (a[i] != b[j]))
+        assert substring_dedup._edits(a, b) == row[-1]
+
+
 def test_chains_are_the_best_by_brute_force():
     draw = random.Random(2)
     for _ in range(60):
@@ -219,12 +287,32 @@ def test_pipeline_stages(spark):
         if k < 4:
             assert list(rows.columns) == docs.columns
             frames.append(spark.createDataFrame(rows, docs.schema))
-    counts = [f.count() for f in frames]
-    assert counts[0] >= counts[1] >= counts[2] >= counts[3] > 0
-    size = lambda f: sum(len(words(r["text"])) for r in f.collect())
-    assert abs(size(frames[4]) - size(frames[3])) < 0.35 * size(frames[3])
-    per = frames[4].groupBy("doc_id").count().toPandas()["count"]
-    assert per.max() <= 3 and len(rows) == frames[4].count() and (rows.n_tokens == rows.ids.map(len)).all()
+    # line dedup, near dedup, mix and tokens against brute force on their own inputs
+    lines = line_brute([(r["doc_id"], r["text"]) for r in frames[1].collect()])
+    kept = {i: t for i, (gone, t) in lines.items() if not gone or words(t)}
+    assert {r["doc_id"]: r["text"] for r in frames[2].collect()} == kept and frames[2].count() == len(kept)
+    groups = jaccard_brute([(r["doc_id"], r["text"]) for r in frames[2].collect()])
+    assert sorted(r["doc_id"] for r in frames[3].collect()) == sorted(i for i, (_, c) in groups.items() if i == c)
+    before = frames[3].toPandas()
+    before["size"] = before.text.map(lambda t: len(words(t)))
+    by = before.groupby("source")["size"].agg(["sum", "max"]).sort_index()
+    after = frames[4].toPandas()
+    after["size"] = after.text.map(lambda t: len(words(t)))
+    taken = after.groupby("source")["size"].sum().reindex(by.index, fill_value=0)
+    want = mixing.targets(by["sum"].tolist(), np.resize([5, 2, 1], len(by)))
+    assert (np.abs(taken - want) <= by["max"]).all()
+    per = after.groupby("doc_id").size()
+    assert per.max() <= 3 and set(per.index) <= set(before.doc_id) and len(rows) == len(after) and (rows.n_tokens == rows.ids.map(len)).all()
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    """A text goes for its own near copy only, not for that of another row of its doc_id."""
+    draw = random.Random(31)
+    p, q = prose(draw, 60, 900), prose(draw, 60, 900)
+    rows = [(1, " ".join(p)), (2, " ".join(p + ["end"])), (2, " ".join(q)), (3, " ".join(q + ["end"])), (3, " ".join(q + ["end"])), (None, " ".join(p)), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(corpus_pipeline.dedup_near(spark, df, DATA).collect(), key=repr)
+    assert out == sorted((r for r in df.collect() if (r["doc_id"], (r["text"] or "")[-3:]) not in ((2, "end"), (3, "end"))), key=repr)
 
 
 def test_mix_keeps_rows_apart(spark):
