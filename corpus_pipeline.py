@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import bpe, jaccard_join, line_dedup, mixing, quality_cnn
-from ledgerline.llm.common import Scratch, table
+from ledgerline.llm.common import Scratch, numbered, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,20 +28,24 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest doc_id. Null doc_ids stay."""
-    groups = jaccard_join.join(docs.select("doc_id", "text"))
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: the one of the smallest doc_id, and of its rows' texts the one of the smallest hash.
+
+    Rows that are equal in doc_id and text are one document. Null doc_ids stay.
+    """
+    numbers, names = numbered(docs, Scratch(spark, "near"))
+    gone = jaccard_join.join(numbers, doc_id="doc").where("doc_id <> component_id").select(F.col("doc_id").alias("doc"))
+    if names is None:
+        return docs.join(gone.withColumnRenamed("doc", "doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.withColumn("__row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    once = rows.where("doc_id is not null").dropDuplicates(["doc_id", "__row"])
+    left = once.join(names.join(gone, "doc").select("doc_id", F.col("row").alias("__row")), ["doc_id", "__row"], "left_anti")
+    return left.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole copies of documents, as many as the mix of sources takes; 0 to 3 rows of each."""
-    counted = mixing.copies(mixing.mix(docs.select("doc_id", "source", "text")))
-    taken = counted.where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (size == F.col("__size"))
-    joined = docs.join(taken.hint("shuffle_hash"), same)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """Whole copies of documents, by the quotas of the mix of sources; 0 to 3 rows of each."""
+    taken = mixing.whole(docs).where("copies > 0")
+    return taken.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
