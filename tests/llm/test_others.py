@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from ledgerline.llm import language_id, license_scan, mixing, quality_cnn, registry, substring_dedup
@@ -52,16 +53,73 @@ def test_language_evidence(spark):
 
 
 def test_every_language_is_learned(spark):
-    rows = [(i, f"some words of language {i} here", f"l{i:03}") for i in range(203)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
-    langs, logs = language_id.fit(docs, sample=0)  # two jobs a language otherwise
-    assert langs == [f"l{i:03}" for i in range(203)] and len(logs) == 203
+    rows = [(i, f"some words of language {i} here " + " long" * (5000 if i == 7 else 0), f"l{i:03}") for i in range(203)]
+    docs = spark.createDataFrame(rows * 2 + [(900, "short", "zz"), (901, None, "zz"), (902, "of no language at all", None)], "doc_id long, text string, lang string")
+    langs, logs = language_id.fit(docs)
+    assert langs == [f"l{i:03}" for i in range(203)] and logs.shape == (203, language_id.BUCKETS)
+    for i in (7, 50):
+        counts = np.bincount(language_id.trigrams(rows[i][1].encode()), minlength=language_id.BUCKETS) + 0.2
+        assert np.allclose(logs[i], np.log(counts / counts.sum()), atol=1e-5)
+
+
+def test_more_languages_than_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(spark.createDataFrame([(i, "some text of twenty bytes", f"l{i}") for i in range(3)], "doc_id long, text string, lang string"))
+
+
+def test_posterior_by_brute_force(spark):
+    """Every page's posterior by plain sums over all pages, with a host, a suffix and a declared language that are hot."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    langs, logs = model = language_id.fit(docs)
+    pool = {r["lang"]: r["text"].split() for r in docs.where("length(text) > 400").collect()}
+    draw, rows = random.Random(8), []
+    for i in range(160):
+        mixed = [draw.choice(pool[draw.choice(langs)]) for _ in range(draw.randint(0, 6))]  # little text, so that all evidence counts
+        host = draw.choice(["www.hot.example.com", "www.hot.example.com", f"h{draw.randrange(6)}.example.de", "x.org", ""])
+        rows.append((i // 2, f"https://{host}/p" if host else draw.choice([None, "no address"]), f"<html lang='{draw.choice(['', 'en', 'de', 'xx', 'EN-gb'])}'><nav>{draw.choice(pool['en'])}</nav>{' '.join(mixed)}", "kept", 1.5))
+    rows.append(rows[3])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, language string, c double")
+    got = sorted((r["page_id"], r["url"] or "", r["c"], r["language"], r["text_language"], r["declared"], round(r["probability"], 9)) for r in language_id.identify(df, docs, model=model).collect())
+    seen = []
+    for i, url, html, _, c in rows:
+        t = language_id.trigrams(language_id.visible(html.encode()))
+        e = logs[:, t].sum(1, dtype=float) if len(t) else np.zeros(len(langs))
+        e = (e - e.max()) * language_id.PART
+        e = e * language_id.RANGE / max(language_id.RANGE, -e.min())
+        host = url[8:].split("/")[0] if (url or "").startswith("https") else ""
+        seen.append((i, url or "", c, e, np.exp(e) / np.exp(e).sum(), host, ".".join(host.split(".")[-2:]), host.split(".")[-1], html[12:].split("'")[0][:2].lower()))
+    every, want = sum(x[4] for x in seen), []
+    for x in seen:
+        prior = every - x[4] + 1
+        prior = prior / prior.sum()
+        for k in (7, 6, 5):
+            own = np.maximum(sum(y[4] for y in seen if y[k] == x[k]) - x[4], 0)
+            prior = (own + language_id.STRENGTH * prior) / (own.sum() + language_id.STRENGTH)
+        said = np.maximum(sum(y[4] for y in seen if y[8] == x[8]) - x[4], 0)
+        post = x[3] + np.log(prior + 1e-12) + (np.log((said + 0.5) / (np.maximum(every - x[4], 0) + 10)) if x[8] else 0)
+        want.append((x[0], x[1], x[2], langs[int(post.argmax())], langs[int(x[4].argmax())], x[8], round(float(1 / np.exp(post - post.max()).sum()), 9)))
+    assert [w[:6] for w in sorted(want)] == [g[:6] for g in got] and np.allclose([w[6] for w in sorted(want)], [g[6] for g in got])
+    assert sum(w[3] != w[4] for w in want) > 10  # the fusion decides, not the text alone
 
 
 def test_visible_text():
     assert language_id.visible(b"<p>a<!-- b --><STYLE>c</STYLE>d&amp;e</p><nav>f</nav>") == b"a d e"
 
 
+def test_markup_is_read_in_one_pass():
+    import time
+
+    v = language_id.visible
+    assert v(b"a<b>c</b> <script>x<y</script >d<!-- e > f -->g<NAV x>h</nav>i&amp;j") == b"a c d g i j"
+    assert v(b"a<nav>b<p>c") == b"a b c" and v(b"a<!-- b<p>c") == b"a" and v(b"a < b") == b"a < b" and v(b"") == b"" and v(b"<script>a</script") == b"<script>a</script"
+    assert language_id.declared_in(b"<p><HTML class=x LANG = 'De-at'>") == "de" and language_id.declared_in(b"<html lang=en") == ""
+    began = time.perf_counter()
+    for unit in (b"<nav>", b"<", b"<!--", b"<html lang", b"&a", b"<nav></script>", b"</nav", b"<p "):
+        v(unit * (2_000_000 // len(unit))), language_id.declared_in(unit * (2_000_000 // len(unit)))
+    assert time.perf_counter() - began < 30
+
+
 # substrings
 
 
