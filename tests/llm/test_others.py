@@ -1,7 +1,9 @@
 """Licence scan, language ID, substring dedup, quality classifier, the registry and the pipeline."""
 
 import random
+import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -33,6 +35,36 @@ def test_licences(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_whole_licences_in_other_dress(spark):
+    """Whole texts as systems carry them, wrapped, cased, quoted and headed otherwise, are known; changed by a word they aren't."""
+    folder, names = Path("/usr/share/common-licenses"), {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3"}
+    texts = [(want, (folder / file).read_text(encoding="utf-8")) for file, want in names.items() if (folder / file).exists()]
+    texts += [x for x in license_scan.TEXTS]
+    rows = []
+    for k, (_, text) in enumerate(texts):
+        rows += [(4 * k, text), (4 * k + 1, "Copyright (c) 2031 Some Body\n\n" + text.upper().replace('"', "\u201c")), (4 * k + 2, re.sub(r"[ \t]+", "  ", text).replace("license", "licence").replace(",", " ;")), (4 * k + 3, text + " moreover")]
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (want, text) in enumerate(texts):
+        assert [got[4 * k + i] for i in range(4)] == [want, want, want, None], (want, text[:60])
+
+
+def test_notices_and_identifiers(spark):
+    rows = ["Licensed under the BSD 3-Clause License", "released under GPL v2 or later.", "This project is licensed under the GNU Lesser General Public License, version 2.1.", "// SPDX-License-Identifier: LGPL-2.1+", "# SPDX-License-Identifier: Apache-2.0", "Distributed under the Mozilla Public Licence, version 2.0!", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "licensed under a licence of our own"]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["notices"] for r in got] == ["BSD-3-Clause", "GPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1", "Apache-2.0", "MPL-2.0", "CC-BY-SA-4.0", ""]
+
+
+def test_known_texts_as_a_table(spark):
+    """Digests made by Spark are those made by Python; a table's ties go to the first name."""
+    known = [*license_scan.TEXTS, ("Own", "Do what\nyou like, or not."), ("Another", "do what you like or NOT")]
+    table = spark.createDataFrame(known, "name string, text string")
+    python = license_scan.digests(known)
+    native = {r["digest"]: r["name"] for r in license_scan.lookup(spark, table).collect()}
+    assert set(native) == set(python) and native[license_scan.digest("do what you like or not")] == "Another"
+    df = spark.createDataFrame([(1, "Do WHAT you like\nor not", "x", 1), (1, None, "y", 2), (2, "a " * 400_000, "", 3)], "doc_id long, text string, license string, n_notices int")
+    assert [tuple(r) for r in license_scan.scan(df, known=table).orderBy("doc_id").collect()] == [(1, "Another", 0, ""), (2, None, 0, "")]
+
+
 # languages
 
 
