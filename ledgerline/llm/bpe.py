@@ -63,20 +63,26 @@ def _class(name: str) -> str:
     return _ranges([ord(c) for c in kept])
 
 
+# The endings that are words of their own, and the pattern that the vocabulary file states.
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+WORDS = regex.compile(rf"{ENDINGS}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+")
+
+
 @functools.cache
 def words_pattern() -> regex.Pattern:
-    """The pattern that the vocabulary file states for splitting words, with the library's letters and numbers."""
+    """The same pattern with the library's letters and numbers, for words with code points that are new to Python's tables."""
     letter, number = _class("L"), _class("N")
-    # The endings that are words of their own, from the vocabulary file.
-    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\s{letter}{number}]+")
+    return regex.compile(rf"{ENDINGS}|[{letter}]+|[{number}]|[^\s{letter}{number}]+")
 
 
 @functools.cache
 def unknown_pattern() -> regex.Pattern:
-    """Code points that Python's tables don't have, so that they are normalised by the library."""
+    """Code points that Python's tables don't have: the library normalises and splits them by its own."""
     return regex.compile(f"[{_ranges([c for c in POINTS if unicodedata.category(chr(c)) == 'Cn'])}]")
 
 
+#: All code points below are in every version.
+OLD = "\u0378"
 #: What the vocabulary file states for normalising, but for white space, which is gone by then.
 NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 #: Python's str.split also splits at these four, which Unicode has not as white space.
@@ -199,8 +205,8 @@ class WordBPE:
         found = self.old.get(chunk)
         if found is None:
             ids = array("i")
-            known = chunk.isascii() or not self.find_unknown(chunk)
-            for w in self.find_words(chunk if known else NORMAL.normalize_str(chunk)):
+            known = not chunk or max(chunk) < OLD or not self.find_unknown(chunk)
+            for w in WORDS.findall(chunk) if known else self.find_words(NORMAL.normalize_str(chunk)):
                 ids.extend(self.word(w))
             found = ids.tobytes()
         if len(chunk) <= 64:
