@@ -17,8 +17,8 @@ these hashes.
    untouched, so a line whose halves (cut as for its own length and for one word less)
    are shared with no other is left out here, losing nothing.
 3. The rest emit the hashed key of each variant with one word deleted, and their own. A key is a sum
-   over pairs of neighbouring words, so it costs the same for any length of line. Keys that occur
-   once go. Lines with equal keys at the same place differ in the word there: each is compared
+   over pairs of neighbouring words, so it costs the same for any length of line. Keys of one
+   line go. Lines with equal keys at the same place differ in the word there: each is compared
    with the group's earliest only. A full line with the key of a longer line's variant is that
    line with a word left out.
 4. Every pair that a key brings is verified word by word.
@@ -140,7 +140,9 @@ def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_wo
     whole = keyed.select(*PLACE, F.lit(-1).alias("i"), F.xxhash64("n", "full").alias("key"))
     variants = keyed.select(*PLACE, F.posexplode(F.transform("cut", lambda k: F.xxhash64(F.col("n") - 1, k))).alias("i", "key"))
     every = whole.unionByName(variants)
-    met = scratch.write(every.join(every.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), "met")
+    line = F.xxhash64(*PLACE)  # a line of equal words has one key many times
+    shared = every.groupBy("key").agg(F.min(line).alias("x"), F.max(line).alias("z")).where("x <> z").select("key")
+    met = scratch.write(every.join(shared, "key", "left_semi"), "met")
     starred = met.where("i >= 0").groupBy("key", "i").agg(F.min(place).alias("first"))
     replaced = met.join(starred, ["key", "i"]).where(place != F.col("first")).select(place.alias("a"), F.col("first").alias("b"))
     full = met.where("i < 0").select(place.alias("a"), "key")
