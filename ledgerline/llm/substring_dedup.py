@@ -5,11 +5,11 @@
    seed in both. Every place of a seed counts. Seeds that occur once go.
 2. Every place of a seed is matched with the seed's earliest place, found by a grouped minimum, so
    matches grow with the seeds and not with the square of how many documents share one.
-3. Where the earliest places of neighbouring seeds aren't neighbours in one document, runs of 2, 4,
-   8, 16 and 32 seeds (with the distances between them) are keys of their own, matched with the
-   earliest place of the whole run. So every stretch of a passage is matched with a document that
-   has as much of it in a row, whatever others share less. Where they are neighbours, the
-   earliest place of the run is the same one, and nothing is sent.
+3. Where no document leads seeds on both sides of a place (on one diagonal, no more than ``COVER``
+   words from one to the next), the runs of 2, 4, 8, 16 and 32 seeds over that place (with the
+   distances between them) are keys of their own, matched with the earliest place of the whole run.
+   So every stretch of a passage is matched with a document that has as much of it in a row,
+   whatever others share less. Elsewhere the leader's chain covers the run, and nothing is sent.
 4. Matches of two documents are chained in the order of both by dynamic programming with
    gap costs over a Fenwick tree of prefix maxima, apart where gaps of over ``GAP`` words or shifts
    of over ``SHIFT`` divide them, and chains are cut at such gaps and shifts. A chain has two matches at least. Runs that overlap on one
@@ -48,10 +48,14 @@ from . import shingles
 from .common import Scratch, meet, numbered, runs_of_keys
 
 K, WINDOW = 5, 6
+#: Words between seeds that are kept where one seed comes again and again.
+TIED = 3
 #: Seeds of the runs that are keys.
 RUNS = (2, 4, 8, 16, 32)
 #: What a match earns and a word of gap costs in a chain, and the longest gap.
 GAIN, COST, GAP = 8.0, 0.1, 64
+#: Words between two seeds on one diagonal that a chain is taken to cover when runs are chosen.
+COVER = 32
 #: Words put in or left out between two matches of a chain at most.
 SHIFT = 24
 #: Words looked at beyond both ends of a chain, and words of a block.
@@ -63,11 +67,25 @@ U = np.uint64
 
 
 def minimizers(h: np.ndarray) -> np.ndarray:
-    """Places of the least hash of every WINDOW consecutive ones."""
+    """Places of the least hash of every WINDOW consecutive ones; of equal ones in a row no more than TIED apart."""
     if len(h) <= WINDOW:
         return np.array([int(h.argmin())]) if len(h) else np.zeros(0, np.int64)
     v = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-    return np.unique(v.argmin(1) + np.arange(len(v)))
+    at = np.unique(v.argmin(1) + np.arange(len(v)))
+    tied = (h[at[1:]] == h[at[:-1]]) & (np.diff(at) < WINDOW)
+    if not tied.any():
+        return at
+    keep = np.ones(len(at), bool)
+    kept = 0
+    for i in np.flatnonzero(tied).tolist():  # at[i] and at[i + 1] are equal: words that come again and again
+        if i == 0 or not tied[i - 1]:
+            kept = at[i]
+        # at[i + 1] may go if the one after it is near enough to the last kept, too
+        if i + 1 < len(tied) and tied[i + 1] and at[i + 2] - kept <= TIED:
+            keep[i + 1] = False
+        else:
+            kept = at[i + 1]
+    return at[keep]
 
 
 def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,23 +114,35 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs, m)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in m])), pa.nulls(sum(m), pa.int64()), pa.array([x for block in blocks for x in block], pa.binary())], names=names)
 
 
+def reach(doc: np.ndarray, pos: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each seed (sorted by doc, pos) the last seed that one leader's seeds, no more than COVER words apart, cover together with it."""
+    n = len(doc)
+    order = np.lexsort((np.arange(n), at.astype(np.int64) - pos, of, doc))
+    d, p, o, lean = doc[order], pos[order], of[order], (at.astype(np.int64) - pos)[order]
+    new = np.ones(n, bool)
+    new[1:] = (d[1:] != d[:-1]) | (o[1:] != o[:-1]) | (lean[1:] != lean[:-1]) | (np.diff(p) > COVER)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], n) - 1
+    out = np.arange(n)
+    np.maximum.at(out, order[first], order[last])
+    return np.maximum.accumulate(out)  # a cover never ends in a later document
+
+
 def _uneven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc, pos, len) of the runs of neighbouring seeds (sorted by doc, pos) whose earliest places aren't neighbours."""
+    """(key, doc, pos, len) of the runs of neighbouring seeds (sorted by doc, pos) that no leader covers."""
     steps = shingles.mix(np.arange(1, 2 * max(RUNS) + 1, dtype=U)) | U(1)
     for table, bounds in runs_of_keys(batches, ["doc"]):
         doc, pos, seed, of, at = (table.column(c).to_numpy() for c in ("doc", "pos", "seed", "of", "at"))
         gap = np.diff(pos.astype(np.int64), append=0)
         apart = np.ones(len(doc), bool)  # from the place before: another document, or too far to be one run
         apart[1:] = (doc[1:] != doc[:-1]) | (gap[:-1] > GAP)
-        turn = np.zeros(len(doc), bool)
-        turn[1:] = (of[1:] != of[:-1]) | (np.diff(at.astype(np.int64) - pos) != 0)
-        before, turns = np.cumsum(apart), np.cumsum(turn)
+        before, cover = np.cumsum(apart), reach(doc, pos, of, at)
         h = shingles.mix(seed.view(U))
         for n in RUNS:
             m = len(doc) - n + 1
             if m <= 0:
                 break
-            i = np.flatnonzero((before[n - 1 :] == before[:m]) & (turns[n - 1 :] > turns[:m]))
+            i = np.flatnonzero((before[n - 1 :] == before[:m]) & (cover[:m] < np.arange(n - 1, len(doc))))
             if len(i) == 0:
                 continue
             key = np.full(len(i), n, U)
@@ -182,6 +212,20 @@ def segments(x: np.ndarray, y: np.ndarray, length: np.ndarray) -> list[tuple[int
     return [(p, q, e - p) for p, q, e in out]
 
 
+def cover(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """As few of the segments, (x, y, words), as cover the same places x."""
+    out, end, best = [], -1, None
+    for one in sorted(found):
+        if best is not None and one[0] > end:
+            out.append(best)
+            end, best = best[0] + best[2], None
+        if one[0] + one[2] > end and (best is None or one[0] + one[2] > best[0] + best[2]):
+            if one[0] > end:  # nothing before it reaches here
+                end = one[0]
+            best = one
+    return [*out, best] if best is not None else out
+
+
 def apart(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Matches in groups, x ascending, that no chain can cross: by shifts of over SHIFT, then by gaps of over GAP."""
     lean = x - y
@@ -224,7 +268,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y, n = xs[s:e].astype(np.int64), ys[s:e].astype(np.int64), lens[s:e]
             found = []
             if (long_ := n > K).any():
-                runs = segments(x[long_], y[long_], n[long_])
+                runs = cover(segments(x[long_], y[long_], n[long_]))
                 spread = [np.minimum(np.arange(0, z - K + 16, 16), z - K) for _, _, z in runs]
                 found = [(p + m, q + m) for (p, q, z), m in zip(runs, spread) if z >= MIN_CHAIN]
                 x, y = np.concatenate([x, *(p + m for (p, _, _), m in zip(runs, spread))]), np.concatenate([y, *(q + m for (_, q, _), m in zip(runs, spread))])
@@ -264,15 +308,30 @@ def _edits(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Words beyond an end that it pays to take (1 for an equal pair, -2 for another), and the unequal ones."""
-    n = min(len(a), len(b))
-    if n == 0:
-        return 0, 0
-    equal = a[:n] == b[:n]
-    run = np.cumsum(np.where(equal, 1, -2))
-    at = int(run.argmax())
-    return (at + 1, int((~equal[: at + 1]).sum())) if run[at] > 0 else (0, 0)
+def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Words of both beyond an end that it pays to take (1 for an equal pair, -2 for another, put in or left out), and the unequal ones."""
+    i = j = wrong = 0
+    while True:
+        best = (0, 0, 0, 0)
+        for p, q in ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2)):
+            n = min(len(a) - i - p, len(b) - j - q)
+            if n <= 0:
+                continue
+            equal = a[i + p : i + p + n] == b[j + q : j + q + n]
+            run = np.cumsum(np.where(equal, 1, -2))
+            at = int(run.argmax())
+            best = max(best, (int(run[at]) - 2 * max(p, q), p + at + 1, q + at + 1, max(p, q) + int((~equal[: at + 1]).sum())), key=lambda x: x[0])
+        if best[0] <= 0:
+            return i, j, wrong
+        i, j, wrong = i + best[1], j + best[2], wrong + best[3]
+
+
+def _between(a: np.ndarray, b: np.ndarray) -> int:
+    """Edits between two runs of words, word by word where that makes few."""
+    if len(a) == len(b):
+        unequal = int((a != b).sum())
+        return unequal if unequal <= 2 else min(unequal, _edits(a, b))
+    return _edits(a, b)
 
 
 def align(xs: np.ndarray, ys: np.ndarray, first: bool, last: bool, a: np.ndarray, a0: int, b: np.ndarray, b0: int) -> tuple[int, int, int, int, int]:
@@ -285,17 +344,16 @@ def align(xs: np.ndarray, ys: np.ndarray, first: bool, last: bool, a: np.ndarray
     start, other, stop, until = int(x[0]), int(y[0]), int(x[-1]), int(y[-1])
     if last:
         stop, until = stop + K, until + K
-    if stop - start == until - other and (x - y == x[0] - y[0]).all():
-        edits = int((a[start:stop] != b[other:until]).sum())
-    else:
-        edits = sum(_edits(a[p:q], b[r:t]) for p, q, r, t in zip(x, x[1:], y, y[1:]))
+    edits = int((a[start:stop] != b[other:until]).sum()) if stop - start == until - other else 3
+    if edits > 2:
+        edits = sum(_between(a[p:q], b[r:t]) for p, q, r, t in zip(x, x[1:], y, y[1:]))
         edits += int((a[x[-1] : stop] != b[y[-1] : until]).sum())
     if last:
-        more, wrong = _extend(a[stop : stop + REACH], b[until : until + REACH])
-        stop, until, edits = stop + more, until + more, edits + wrong
+        more, there, wrong = _extend(a[stop : stop + REACH], b[until : until + REACH])
+        stop, until, edits = stop + more, until + there, edits + wrong
     if first:
-        less, wrong = _extend(a[max(0, start - REACH) : start][::-1], b[max(0, other - REACH) : other][::-1])
-        start, other, edits = start - less, other - less, edits + wrong
+        less, there, wrong = _extend(a[max(0, start - REACH) : start][::-1], b[max(0, other - REACH) : other][::-1])
+        start, other, edits = start - less, other - there, edits + wrong
     return a0 + start, a0 + stop, b0 + other, b0 + until, edits
 
 
@@ -320,7 +378,10 @@ def earliest(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     total = rows.count()
     met = scratch.write(meet(rows, counts, ["seed"], total), f"{name}-met")
     place = scratch.write(met.where("doc = of").groupBy("seed").agg(F.min("pos").alias("at")).join(counts.select("seed", "c"), "seed"), f"{name}-first")
-    return scratch.write(meet(met, place, ["seed"], total), name)
+    out = scratch.write(meet(met, place, ["seed"], total), name)
+    for done in ("counts", "met", "first"):
+        scratch.drop(f"{name}-{done}")
+    return out
 
 
 def with_blocks(pieces: DataFrame, blocks: DataFrame, doc: str, number: str, words: str, scratch: Scratch) -> DataFrame:
@@ -343,9 +404,12 @@ def spans(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
     runs = scratch.write(seeds.repartition("doc").sortWithinPartitions("doc", "pos").mapInArrow(_uneven, "seed long, doc long, pos int, len int"), "runs")
     longer = earliest(runs, scratch, "runs-placed")
     both = seeds.select("doc", "of", "pos", "at", F.lit(K).alias("len")).unionByName(longer.select("doc", "of", "pos", "at", "len"))
-    matches = both.where(earlier(F.col("len")))
+    # places of a document that are nearer to each other than min_words can't be of two passages
+    matches = both.where(earlier(F.greatest("len", F.lit(min_words))))
     order = ["doc", "of", "pos", "at"]
     pieces = scratch.write(matches.repartition("doc", "of").sortWithinPartitions(*order).mapInArrow(_chains, PIECES), "pieces")
+    for done in ("seeds", "runs", "runs-placed"):
+        scratch.drop(done)
     blocks = marks.where("words is not null").select("doc", "pos", "words")
     left = scratch.write(with_blocks(pieces, blocks, "doc", "x", "a", scratch), "left")
     full = with_blocks(left, blocks, "of", "y", "b", scratch).select("doc", "of", "no", "x", "y", "first", "last", "xs", "ys", "a", "b")
