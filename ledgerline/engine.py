@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators.lower import Compiler
 from .plans.graph import Graph
 from .plans.ir import Plan, canonical_key
-from .plans.model import Model
+from .plans.model import GrainError, Model
 from .plans.pick import Menu
-from .plans.review import Remark, review
+from .plans.review import Remark, double_counts, review
 from .sources import catalog
 
 
@@ -29,7 +29,12 @@ class Engine:
         return cls(catalog.retail(catalog.schema_of(bare.tables(), tables)), tables, elide=elide)
 
     def run(self, plan: Plan) -> DataFrame:
-        """The plan's rows, or a refusal (PlanError, GrainError)."""
+        """The plan's rows, or a refusal (PlanError, GrainError), also of a total beside its own summand."""
+        one: Plan | None = plan
+        while one is not None:
+            if doubled := double_counts(one, self.model):
+                raise GrainError("; ".join(r.message for r in doubled))
+            one = one.other
         return self.compiler.compile(plan)
 
     def key(self, plan: Plan) -> str:

@@ -5,16 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import Graph, Step
-from ..plans.model import Model, PlanError
+from ..plans.model import Concept, Model, PlanError
 
 Tables = Callable[[str], DataFrame]
 LADDER = ("exact", "nocase", "prefix", "contains")
 
 
+def rows_of(c: Concept, tables: Tables) -> DataFrame:
+    """The rows that stand for a concept."""
+    df = tables(c.table)
+    return df.where(F.col(c.backed_where[0]) == F.lit(c.backed_where[1])) if c.backed_where else df
+
+
 def _column(model: Model, concept: str, attribute: str) -> tuple[str, str, str]:
     """(concept, attribute, column) where a value stands, over edges that reach it."""
     c = model.concepts.get(concept)
@@ -33,15 +39,14 @@ def search_values(model: Model, tables: Tables, concept: str, attribute: str, te
     """(value, match) of the first rung of the ladder that has any; limit is the report's length."""
     owner, _, column = _column(model, concept, attribute)
     c = model.concepts[owner]
-    df = tables(c.table)
-    if c.backed_where:
-        df = df.where(F.col(c.backed_where[0]) == F.lit(c.backed_where[1]))
+    df = rows_of(c, tables)
     v, low = F.col(column).cast("string"), text.lower()
     rung = F.when(v == text, 0).when(F.lower(v) == low, 1).when(F.lower(v).startswith(low), 2).when(F.lower(v).contains(low), 3)
     found = df.where(F.trim(v) != "").select(v.alias("value"), rung.alias("__rung")).where("__rung is not null").distinct()
-    best = found.agg(F.min("__rung").alias("__best"))  # one row
     named = F.element_at(F.array(*map(F.lit, LADDER)), F.col("__rung") + 1)
-    return found.join(F.broadcast(best), F.col("__rung") == F.col("__best")).select("value", named.alias("match")).orderBy("value").limit(limit)
+    # the best rung comes first and, of it, as many as the report shows: one pass, then a window over these
+    top = found.orderBy("__rung", "value").limit(limit)
+    return top.withColumn("__best", F.min("__rung").over(Window.partitionBy(F.lit(0)))).where(F.col("__rung") == F.col("__best")).select("value", named.alias("match")).orderBy("value")
 
 
 def fan_out(model: Model, graph: Graph, tables: Tables, edge: str, forward: bool = True) -> DataFrame:
@@ -50,9 +55,7 @@ def fan_out(model: Model, graph: Graph, tables: Tables, edge: str, forward: bool
     e = graph.edge(step)
     ends = []
     for name in (graph.start(step), graph.landing(step)):
-        c = model.concepts[name]
-        df = tables(c.table)
-        ends.append(df.where(F.col(c.backed_where[0]) == F.lit(c.backed_where[1])) if c.backed_where else df)
+        ends.append(rows_of(model.concepts[name], tables))
     origin, far = ends
     if e.via_table:
         near, beyond = (e.from_join, e.to_join) if forward else (tuple((t, j) for j, t in e.to_join), tuple((j, s) for s, j in e.from_join))
@@ -75,19 +78,21 @@ def fan_out(model: Model, graph: Graph, tables: Tables, edge: str, forward: bool
 
 
 def column_facts(model: Model, tables: Tables, concept: str) -> DataFrame:
-    """One row for each attribute with a column: rows, nulls, blanks and distinct values, in one pass."""
+    """One row for each attribute with a column: rows, nulls, blanks and distinct values.
+
+    Values are counted by column first, with partial aggregation, so distinct ones cost a grouped
+    count and not an expansion of every row for a distinct aggregate of each column.
+    """
     c = model.concepts[concept]
-    df = tables(c.table)
-    if c.backed_where:
-        df = df.where(F.col(c.backed_where[0]) == F.lit(c.backed_where[1]))
     own = [a for a in c.attributes.values() if a.column]
-    aggs = [F.count("*").alias("rows")]
-    for i, a in enumerate(own):
-        v = F.col(a.column)
-        aggs += [F.count(F.when(v.isNull(), 1)).alias(f"n{i}"), F.count(F.when(F.trim(v.cast("string")) == "", 1)).alias(f"b{i}"), F.count_distinct(v).alias(f"d{i}")]
-    one = df.agg(*aggs)
-    facts = [F.struct(F.lit(a.name).alias("attribute"), F.col("rows"), F.col(f"n{i}").alias("nulls"), F.col(f"b{i}").alias("blanks"), F.col(f"d{i}").alias("distinct_values")) for i, a in enumerate(own)]
-    return one.select(F.explode(F.array(*facts)).alias("f")).select("f.*")
+    each = F.array(*(F.struct(F.lit(i).alias("i"), F.col(a.column).isNull().alias("empty"), F.col(a.column).cast("string").alias("v")) for i, a in enumerate(own)))
+    counts = rows_of(c, tables).select(F.explode(each).alias("z")).groupBy("z.i", "z.empty", "z.v").agg(F.count("*").alias("n"))
+    total = lambda rows: F.coalesce(F.sum(F.when(rows, F.col("n"))), F.lit(0))
+    facts = counts.groupBy("i").agg(F.sum("n").alias("rows"), total(F.col("empty")).alias("nulls"), total(F.trim("v") == "").alias("blanks"), F.count(F.when(~F.col("empty"), 1)).alias("distinct_values"))
+    names = F.element_at(F.array(*(F.lit(a.name) for a in own)), F.col("i") + 1)
+    some = facts.select(names.alias("attribute"), "rows", "nulls", "blanks", "distinct_values")
+    none = tables(c.table).sparkSession.createDataFrame([(a.name,) for a in own], "attribute string")  # an empty table has facts, too
+    return none.join(some, "attribute", "left").select("attribute", *(F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("rows", "nulls", "blanks", "distinct_values")))
 
 
 def key_report(model: Model, tables: Tables) -> DataFrame:
@@ -95,9 +100,7 @@ def key_report(model: Model, tables: Tables) -> DataFrame:
     out = []
     for c in model.concepts.values():
         if c.key:
-            df = tables(c.table)
-            df = df.where(F.col(c.backed_where[0]) == F.lit(c.backed_where[1])) if c.backed_where else df
-            counts = df.groupBy(*c.key).agg(F.count("*").alias("n"))
+            counts = rows_of(c, tables).groupBy(*c.key).agg(F.count("*").alias("n"))
             out.append(counts.agg(F.lit(c.name).alias("concept"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats")))
     return reduce(DataFrame.unionByName, out).withColumn("holds", F.col("repeats") == 0)
 

@@ -101,25 +101,21 @@ class Plan:
             raise PlanError("nothing is asked for")
 
 
-@dataclass(frozen=True)
-class Clarify:
-    """An answer that asks back instead of a plan."""
-
-    question: str
-    options: tuple[str, ...] = ()
-
-
 def _structure(x: Any) -> Any:
     if hasattr(x, "__dataclass_fields__"):
         return {k: _structure(getattr(x, k)) for k in x.__dataclass_fields__ if getattr(x, k) not in (None, (), "")}
     return [_structure(v) for v in x] if isinstance(x, (list, tuple)) else x
 
 
+def _place(m: Measure) -> tuple:
+    """What measures are ordered by: what they are, where, and their parts."""
+    return (m.metric or "", m.aggregation or "", m.attribute or "", m.combine or "", m.over or "", -1 if m.path is None else m.path, tuple(map(_place, m.parts)))
+
+
 def _ordered(measure: Measure) -> Measure:
-    parts = tuple(map(_ordered, measure.parts))
-    if measure.combine in ("add", "multiply"):
-        parts = tuple(sorted(parts, key=lambda m: json.dumps(_structure(m), sort_keys=True, default=str)))
-    return replace(measure, parts=parts)
+    """A measure with the parts of sums and products in one order."""
+    parts = [_ordered(p) for p in measure.parts]
+    return replace(measure, parts=tuple(sorted(parts, key=_place) if measure.combine in ("add", "multiply") else parts))
 
 
 def canonicalise(plan: Plan, model: Model | None = None) -> Plan:

@@ -7,7 +7,7 @@ from ledgerline.functions import lookup
 from ledgerline.functions.columns import period
 from ledgerline.operators import profile
 from ledgerline.operators.check import Checker, blocking
-from ledgerline.plans.model import PlanError
+from ledgerline.plans.model import GrainError, PlanError
 from ledgerline.queries import NATIONS
 
 DIR = "/root/testdata/sf0.001"
@@ -74,8 +74,11 @@ def test_picks(engine):
 
 
 def test_words(engine):
-    assert lookup.tokens("OrderDetails of Countries") == ("order", "detail", "of", "country")
-    assert (lookup.score("loss", "Losses"), lookup.score("order date", "the order date"), lookup.score("a b", "b c")) == (100, 70, 20)
+    assert lookup.tokens("OrderDetails of HTTPServers2") == ("order", "details", "of", "http", "servers", "2")
+    assert all(lookup.alike(a, b) and lookup.alike(b, a) for a, b in (("loss", "losses"), ("country", "countries"), ("order", "orders"), ("x", "x")))
+    assert not lookup.alike("bus", "bu s") and not lookup.alike("order", "ordered") and not lookup.alike("loss", "los t")
+    scores = [lookup.score(a, b) for a, b in (("loss", "Losses"), ("date of order", "order of date"), ("order date", "the order date"), ("a b", "b c"), ("a", "b"), ("", ""), ("a a", "a"))]
+    assert scores == [100, 95, 80, 50, 0, 0, 66]
     m = engine.model
     assert lookup.find_metric(m, "number of orders").names == ("OrderCount",) and lookup.find_metric(m, "zzz").status == "absent"
     assert lookup.find_attribute(m, "market segment").status == "unique"
@@ -101,6 +104,10 @@ def test_descriptions_and_routes(engine):
     d = lookup.describe_concept(m, g, "Order")
     assert "OrderBill" in d["metrics"] and any(e["edge"] == "OF_ORDER" and e["several"] for e in d["edges"])
     assert lookup.list_subjects(m, g, "Region")[0] == ("Nation", 1) and len(lookup.list_concepts(m)) == len(m.concepts)
+    assert lookup.describe_concept(m, g, "Region", engine.tables)["attributes"]["name"]["values"][0] == "AFRICA"
+    assert lookup.metric_routes(m, g, "OrderBill", "LineItem")["OrderGross"] == [""] and lookup.metric_routes(m, g, "OrderBill", "Order", 1)["OrderGross"][0].startswith("Order>LineItem#")
+    step = lookup.find_paths(g, "Order", "Customer", 1, engine.tables)[0]["steps"][0]
+    assert step["measured"]["largest"] == 1 and step["measured"]["orphans"] == 0
     found = lookup.find_paths(g, "Order", "Part")
     assert found[0]["steps"][0]["backing"] == "junction" and found[0]["multiplies"] and g.route(found[1]["id"]) is not None
 
@@ -111,6 +118,8 @@ def test_review(engine):
 
     both = Plan("Order", (), (Projection(None, "status"),), (Measure(metric="OrderBill"), Measure(metric="OrderTax")))
     assert [r.code for r in engine.review(both)] == ["DOUBLE_COUNT"]
+    with pytest.raises(GrainError, match="part of OrderBill"):
+        engine.run(both)
     unused = Plan("Order", (Path("Order", (Step("PLACED_BY"),)),), (), (Measure(metric="OrderTotal"),), top=Top(measure=0))
     assert {r.code for r in engine.review(unused)} >= {"UNUSED_ROUTE", "ORDER_OF_ONE", "NO_LIMIT"}
 
