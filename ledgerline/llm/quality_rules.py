@@ -6,17 +6,22 @@ source the minimum covariance determinant estimate of place and spread is made b
 concentration steps from coordinate-wise medians, and a vector is rejected whose
 Mahalanobis distance is beyond the cut.
 
-Everything by group is a grouped sum or count with partial aggregation: the subset of a
-concentration step is cut at a bin of a histogram of distances, so no group's rows are
-sorted or gathered, whatever its share. Covariances are factored (Cholesky) in columns
-of the small table of groups.
-
-Defined results: a null text has no words. Groups under ``MIN_ROWS`` rows are pooled by
-language, then all together; a pool that is still smaller rejects none. Null language
-and source are values of their own. Each statistic's spread has a floor (``FLOORS``), so
-one that is constant in a group doesn't reject the first document that differs a
-little. Repeated rows count each for itself; other columns are kept and new columns
-replace ones of the same name.
+Everything by group is a grouped sum or count with partial aggregation: medians are read from
+histograms, and the subset of a concentration step is cut at a bin of a histogram of distances, so
+no group's rows are sorted or gathered, whatever its share. Covariances are factored (Cholesky) in
+columns of the small table of groups.
+
+A group's covariance counts with its rows, and that of all groups about their own places with
+``SHARED`` rows beside it, so a group of any size has an estimate and a small one leans on the others;
+its place is always its own. So a document that is alone in its group is kept, and there is no size
+from which on groups are treated otherwise.
+
+Defined results: a null text has no words. Null language and source are values of their own. Each
+statistic's spread has a floor (``FLOORS``), so one that is constant in a group doesn't reject
+the first document that differs a little. Equal rows have equal results, and rows at the same
+distance go into a subset together. Repeated rows count each for itself. Reruns agree but for the
+rounding of sums in another order. Other columns are kept and new columns replace ones of the same
+name.
 """
 
 from __future__ import annotations
@@ -28,8 +33,11 @@ from .common import Scratch, words
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
-MIN_ROWS = 100
+#: Rows that the covariance of all groups counts for beside a group's own.
+SHARED = 30
 STEPS = 4
+#: Bins to a unit of a statistic when medians are read.
+FINE = 64
 #: Part of a group's rows that a concentration step keeps: half, so that up to nearly half may be junk.
 KEEP = 0.5
 #: Bins of a factor e of squared distance.
@@ -103,7 +111,11 @@ def _factor(moments: DataFrame) -> DataFrame:
     for i in range(P):
         df = df.withColumn(M[i], F.col(f"__s{i}") / F.col("__n"))
     for i, j in PAIRS:
-        cov = F.col(f"__q{i}_{j}") / F.col("__n") - F.col(M[i]) * F.col(M[j])
+        df = df.withColumn(f"__v{i}_{j}", F.col(f"__q{i}_{j}") - F.col(M[i]) * F.col(M[j]) * F.col("__n"))
+    every = df.agg(*((F.sum(f"__v{i}_{j}") / F.sum("__n")).alias(f"__p{i}_{j}") for i, j in PAIRS))
+    df = df.crossJoin(F.broadcast(every))  # one row
+    for i, j in PAIRS:
+        cov = (F.col(f"__v{i}_{j}") + F.col(f"__p{i}_{j}") * SHARED) / (F.col("__n") + SHARED)
         df = df.withColumn(f"__c{i}_{j}", cov + F.lit(FLOORS[i] ** 2) if i == j else cov)
     for i in range(P):
         for j in range(i + 1):
@@ -131,11 +143,20 @@ def _cut_at(df: DataFrame, part: float) -> DataFrame:
     return run.where(F.col("__run") >= F.col("__all") * part).groupBy("__g").agg(F.min("__b").alias("__cut"))
 
 
+def _medians(df: DataFrame, values: list[Column], names: list[str]) -> DataFrame:
+    """Per group the medians of values, to a bin of 1 / FINE, by names."""
+    bins = F.array(*(F.struct(F.lit(i).alias("__k"), F.floor(v * FINE).cast("int").alias("__b")) for i, v in enumerate(values)))
+    counts = df.select("__g", F.explode(bins).alias("__z")).groupBy("__g", "__z.__k", "__z.__b").agg(F.count("*").alias("__c"))
+    of = Window.partitionBy("__g", "__k")
+    run = counts.withColumn("__run", F.sum("__c").over(of.orderBy("__b"))).withColumn("__all", F.sum("__c").over(of))
+    at = run.where(F.col("__run") * 2 >= F.col("__all")).groupBy("__g", "__k").agg(((F.min("__b") + 0.5) / FINE).alias("__m"))
+    return at.groupBy("__g").agg(*(F.max(F.when(F.col("__k") == i, F.col("__m"))).alias(n) for i, n in enumerate(names)))
+
+
 def robust(df: DataFrame, scratch: Scratch, steps: int = STEPS) -> DataFrame:
     """df, which has __g and the vector, with __d2 scaled to a chi-square's median."""
-    middle = df.groupBy("__g").agg(*(F.percentile_approx(X[i], 0.5, 2000).alias(M[i]) for i in range(P)))
-    middle = scratch.write(middle, "middle")
-    away = df.join(middle, "__g").groupBy("__g").agg(*(F.percentile_approx(F.abs(F.col(X[i]) - F.col(M[i])), 0.5, 2000).alias(f"__a{i}") for i in range(P)))
+    middle = scratch.write(_medians(df, [F.col(x) for x in X], M), "middle")
+    away = _medians(df.join(middle, "__g"), [F.abs(F.col(X[i]) - F.col(M[i])) for i in range(P)], [f"__a{i}" for i in range(P)])
     start = middle.join(away, "__g")
     for i, j in PAIRS:
         start = start.withColumn(L[i, j], F.sqrt((F.col(f"__a{i}") * 1.4826) ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0))
@@ -151,24 +172,14 @@ def robust(df: DataFrame, scratch: Scratch, steps: int = STEPS) -> DataFrame:
     return near.join(half, "__g").withColumn("__d2", F.col("__d2") / scale).drop("__cut", *M, *L.values())
 
 
-def judge(df: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", cut: float = CUT, min_rows: int = MIN_ROWS) -> DataFrame:
+def judge(df: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", cut: float = CUT) -> DataFrame:
     """df without its text, with the base counts, base_failed, distance2 (null: not measured) and kept."""
     scratch = Scratch(df.sparkSession, "quality-rules")
     base = statistics(df, text)
     kept = [c for c in base.columns if c not in ("distance2", "kept")]
     base = scratch.write(base.select(*kept), "base")
-    ok = base.where(~F.col("base_failed")).select(*kept, *(x.alias(n) for n, x in zip(X, vector(), strict=True)))
-    fine = ok.groupBy(F.col(lang).alias("__lang"), F.col(source).alias("__source")).agg(F.count("*").alias("__n"))
-    coarse = fine.where(F.col("__n") < min_rows).groupBy("__lang").agg(F.sum("__n").alias("__nl")).withColumnRenamed("__lang", "__lang2")
-    key = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
-    named = fine.join(coarse, F.col("__lang").eqNullSafe(F.col("__lang2")), "left").select(
-        "__lang", "__source",
-        F.when(F.col("__n") >= min_rows, key("__lang", "__source")).when(F.col("__nl") >= min_rows, key("__lang")).otherwise("{}").alias("__g"), "__n",
-    )
-    named = scratch.write(named.withColumn("__big", F.sum("__n").over(Window.partitionBy("__g")) >= min_rows), "groups")
-    placed = ok.join(named, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source"))).drop("__lang", "__source", "__n")
-    measured = robust(placed.where("__big").drop("__big"), scratch).select(*kept, F.col("__d2").alias("distance2"))
-    free = placed.where(~F.col("__big")).select(*kept).unionByName(base.where("base_failed")).withColumn("distance2", F.lit(None).cast("double"))
-    return measured.unionByName(free).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cut, F.lit(True)))
-
-
+    group = F.to_json(F.struct(F.col(lang).alias("l"), F.col(source).alias("s")))  # nulls are left out, so they are values of their own
+    ok = base.where(~F.col("base_failed")).select(*kept, group.alias("__g"), *(x.alias(n) for n, x in zip(X, vector(), strict=True)))
+    measured = robust(ok, scratch).select(*kept, F.col("__d2").alias("distance2"))
+    failed = base.where("base_failed").withColumn("distance2", F.lit(None).cast("double"))
+    return measured.unionByName(failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cut, F.lit(True)))

@@ -25,23 +25,25 @@ def test_base_counts(spark):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
 
 
-def brute_distance(x):
-    """Concentration steps as the operator states them, on a matrix."""
-    m = np.array([np.sort(x[:, i])[(len(x) - 1) // 2] for i in range(x.shape[1])])
-    a = np.abs(x - m)
-    a = np.array([np.sort(a[:, i])[(len(a) - 1) // 2] for i in range(x.shape[1])])
+def brute_distances(groups):
+    """Concentration steps as the operator states them, on a matrix for each group."""
+    middle = lambda v: (np.sort(np.floor(v * q.FINE), axis=0)[(len(v) - 1) // 2] + 0.5) / q.FINE
     floor = np.diag(np.array(q.FLOORS) ** 2)
-    cov = np.diag((a * 1.4826) ** 2) + floor
+    places = [middle(x) for x in groups]
+    covs = [np.diag((middle(np.abs(x - m)) * 1.4826) ** 2) + floor for x, m in zip(groups, places)]
     bins = lambda d: np.floor(np.log(d + 1e-9) * q.BINS)
+    distances = lambda: [np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) for x, m, c in zip(groups, places, covs)]
     for _ in range(q.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
-        b = bins(d)
-        cut = np.sort(b)[int(np.ceil(len(b) * q.KEEP)) - 1]
-        inside = x[b <= cut]
-        m, cov = inside.mean(0), np.cov(inside.T, bias=True) + floor
-    d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
-    half = np.sort(bins(d))[int(np.ceil(len(d) * 0.5)) - 1]
-    return d / max(np.exp((half + 1) / q.BINS) / q.HALF, 1.0)
+        inside = [x[bins(d) <= np.sort(bins(d))[int(np.ceil(len(d) * q.KEEP)) - 1]] for x, d in zip(groups, distances())]
+        places = [x.mean(0) for x in inside]
+        spread = [len(x) * np.cov(x.T, bias=True) for x in inside]
+        shared = sum(spread) / sum(map(len, inside))
+        covs = [(v + q.SHARED * shared) / (len(x) + q.SHARED) + floor for v, x in zip(spread, inside)]
+    out = []
+    for d in distances():
+        half = np.sort(bins(d))[int(np.ceil(len(d) * 0.5)) - 1]
+        out.append(d / max(np.exp((half + 1) / q.BINS) / q.HALF, 1.0))
+    return out
 
 
 def test_distances_and_verdicts(spark):
@@ -52,12 +54,32 @@ def test_distances_and_verdicts(spark):
     df = spark.createDataFrame(rows, DOCS)
     got = {r["doc_id"]: r for r in q.judge(df).collect()}
     assert len(got) == len(rows) and all(got[i]["kept"] for i in range(300)) and not any(got[1000 + i]["kept"] for i in range(6))
-    assert all(got[2000 + i]["kept"] and got[2000 + i]["distance2"] is None for i in range(5))
-    here = df.where("source = 's'")
-    table = q.statistics(here).where("not base_failed").select("doc_id", *(c.alias(n) for n, c in zip(q.X, q.vector()))).toPandas()
-    want = brute_distance(table[q.X].to_numpy())
-    have = np.array([got[i]["distance2"] for i in table.doc_id])
-    assert np.allclose(have, want, rtol=1e-6)
+    assert all(got[2000 + i]["kept"] for i in range(5))
+    table = q.statistics(df).where("not base_failed").select("doc_id", "source", *(c.alias(n) for n, c in zip(q.X, q.vector()))).toPandas()
+    parts = [table[table.source == s] for s in ("s", "rare")]
+    for part, want in zip(parts, brute_distances([p[q.X].to_numpy() for p in parts])):
+        assert np.allclose([got[i]["distance2"] for i in part.doc_id], want, rtol=1e-6)
+
+
+def test_small_groups_are_judged_like_large_ones(spark):
+    """Junk in a group of any size goes, beside groups of the same style; a document alone in its group stays."""
+    draw = random.Random(16)
+    rows = [(i, " ".join(prose(draw, draw.randint(60, 300), 3000)), "en", f"s{i % 3}") for i in range(600)]
+    for k, size in enumerate((4, 12, 40, 99)):
+        rows += [(1000 * (k + 1) + i, " ".join(prose(draw, draw.randint(60, 300), 3000)), "en", f"small{k}") for i in range(size)]
+        rows.append((9000 + k, " ".join(x.upper() + "!!" for x in prose(draw, 120, 3000)) + " # | $" * 30, "en", f"small{k}"))
+    rows.append((9100, rows[-1][1], "de", "alone"))
+    got = {r["doc_id"]: r["kept"] for r in q.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(kept == (i < 9000 or i == 9100) for i, kept in got.items())
+
+
+def test_ties_long_texts_and_clashing_columns(spark):
+    draw = random.Random(17)
+    same = " ".join(prose(draw, 100, 3000))
+    rows = [(i, same, "en", "s", 1.0, "x", 2) for i in range(40)] + [(50, " ".join(prose(draw, 200_000, 3000)), "en", "s", None, None, None)]
+    df = spark.createDataFrame(rows, DOCS + ", distance2 double, kept string, n_words int")
+    out = q.judge(df).toPandas().set_index("doc_id")
+    assert out.distance2[list(range(40))].nunique() == 1 and out.kept[list(range(40))].all() and out.n_words[50] == 200_000 and list(out.columns).count("kept") == 1
 
 
 def test_a_third_of_a_group_is_junk(spark):
