@@ -257,39 +257,67 @@ def steady(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return list(zip(np.split(x, at), np.split(y, at)))
 
 
+def _cut(px: np.ndarray, py: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces of chains that stand one after the other and begin at starts: (chain, first match, matches, is first, is last)."""
+    block = (px // BLOCK) * (1 << 31) + py // BLOCK
+    new = np.zeros(len(px), bool)
+    new[starts] = True
+    opens = new.copy()
+    opens[1:] |= block[1:] != block[:-1]
+    i = np.flatnonzero(opens)
+    stop = np.append(i[1:], len(px))
+    last = np.append(new[i[1:]], True)
+    return np.cumsum(new)[i] - 1, i, stop - i + ~last, new[i], last  # a piece ends with the match that the next one begins with
+
+
+def _pieces(d: np.ndarray, o: np.ndarray, no: np.ndarray, px: np.ndarray, py: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """The pieces of chains, of d, o and no each, whose matches px, py stand one after the other."""
+    chain, i, n, first, last = _cut(px, py, starts)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    flat = np.arange(ends[-1]) + np.repeat(i - ends[:-1], n)
+    lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(p[flat].astype(np.int32))) for p in (px, py)]
+    plain = [d[chain], o[chain], no[chain].astype(np.int32), (px[i] // BLOCK).astype(np.int32), (py[i] // BLOCK).astype(np.int32), first, last]
+    return pa.RecordBatch.from_arrays([*map(pa.array, plain), *lists], names=["doc", "of", "no", "x", "y", "first", "last", "xs", "ys"])
+
+
+def _tangled(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The chains of matches of two documents: runs on one diagonal, and the best chains of all matches."""
+    found = []
+    if (long_ := n > K).any():
+        runs = cover(segments(x[long_], y[long_], n[long_]))
+        spread = [np.minimum(np.arange(0, z - K + 16, 16), z - K) for _, _, z in runs]
+        found = [(p + m, q + m) for (p, q, z), m in zip(runs, spread) if z >= MIN_CHAIN]
+        x, y = np.concatenate([x, *(p + m for (p, _, _), m in zip(runs, spread))]), np.concatenate([y, *(q + m for (_, q, _), m in zip(runs, spread))])
+        both = np.unique(x * (1 << 31) + y)
+        x, y = both >> 31, both & ((1 << 31) - 1)
+    for gx, gy in apart(x, y):
+        straight = ((np.diff(gx) > 0) & (np.diff(gy) > 0)).all()
+        found += [part for c in ([np.arange(len(gx))] if straight else chains_of(gx, gy)) for part in steady(gx[c], gy[c])]
+    return [f for f in found if len(f[0]) > 1]
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chains of matches (sorted by doc, of, pos, at), in pieces of one block of each side; a piece ends where the next begins."""
+    """The chains of matches (sorted by doc, of, pos, at), in pieces of one block of each side; a piece ends where the next begins.
+
+    Matches of two documents that are one chain as they stand, by far the most, are cut all at once.
+    """
     for table, bounds in runs_of_keys(batches, ["doc", "of"]):
-        d, o, xs, ys, lens = (table.column(c).to_numpy() for c in ("doc", "of", "pos", "at", "len"))
-        rows: list[tuple] = []
-        for s, e in zip(bounds, bounds[1:]):
-            if e - s == 1 and lens[s] == K:
-                continue
-            x, y, n = xs[s:e].astype(np.int64), ys[s:e].astype(np.int64), lens[s:e]
-            found = []
-            if (long_ := n > K).any():
-                runs = cover(segments(x[long_], y[long_], n[long_]))
-                spread = [np.minimum(np.arange(0, z - K + 16, 16), z - K) for _, _, z in runs]
-                found = [(p + m, q + m) for (p, q, z), m in zip(runs, spread) if z >= MIN_CHAIN]
-                x, y = np.concatenate([x, *(p + m for (p, _, _), m in zip(runs, spread))]), np.concatenate([y, *(q + m for (_, q, _), m in zip(runs, spread))])
-                both = np.unique(x * (1 << 31) + y)
-                x, y = both >> 31, both & ((1 << 31) - 1)
-            for gx, gy in apart(x, y):
-                straight = ((np.diff(gx) > 0) & (np.diff(gy) > 0)).all()
-                found += [part for c in ([np.arange(len(gx))] if straight else chains_of(gx, gy)) for part in steady(gx[c], gy[c])]
-            for no, (px, py) in enumerate(found):
-                if len(px) < 2:
-                    continue
-                block = (px // BLOCK) * (1 << 31) + py // BLOCK
-                cut = [0, *(np.flatnonzero(np.diff(block)) + 1), len(px)]
-                for k, (i, j) in enumerate(zip(cut, cut[1:])):
-                    rows.append((d[s], o[s], no, px[i] // BLOCK, py[i] // BLOCK, k == 0, j == len(px), px[i : j + 1], py[i : j + 1]))
-        if rows:
-            cols = list(zip(*rows))
-            ends = pa.array(np.cumsum([0, *map(len, cols[7])], dtype=np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c).astype(np.int32))) for c in cols[7:]]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), *lists], names=["doc", "of", "no", "x", "y", "first", "last", "xs", "ys"])
+        d, o = table.column("doc").to_numpy(), table.column("of").to_numpy()
+        x, y, n = (table.column(c).to_numpy().astype(np.int64) for c in ("pos", "at", "len"))
+        starts, sizes = bounds[:-1], np.diff(bounds)
+        dx, dy = np.diff(x, prepend=0), np.diff(y, prepend=0)
+        odd = (dx <= 0) | (dy <= 0) | (dx > GAP + K) | (dy > GAP + K) | (np.abs(dx - dy) > 4)
+        odd[starts] = False
+        odd = np.add.reduceat(odd | (n > K), starts) > 0
+        plain = ~odd & (sizes > 1)
+        if plain.any():
+            rows = np.repeat(plain, sizes)
+            heads = starts[plain]
+            yield _pieces(d[heads], o[heads], np.zeros(len(heads), np.int32), x[rows], y[rows], np.concatenate([[0], np.cumsum(sizes[plain])[:-1]]))
+        found = [(d[s], o[s], no, px, py) for s, e in zip(starts[odd], bounds[1:][odd]) for no, (px, py) in enumerate(_tangled(x[s:e], y[s:e], n[s:e]))]
+        if found:
+            di, oi, no, px, py = zip(*found)
+            yield _pieces(np.array(di), np.array(oi), np.array(no), np.concatenate(px), np.concatenate(py), np.cumsum([0, *map(len, px)])[:-1])
 
 
 PIECES = "doc long, of long, no int, x int, y int, first boolean, last boolean, xs array<int>, ys array<int>"
@@ -310,17 +338,21 @@ def _edits(a: np.ndarray, b: np.ndarray) -> int:
 
 def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Words of both beyond an end that it pays to take (1 for an equal pair, -2 for another, put in or left out), and the unequal ones."""
+    x, y = a.tolist(), b.tolist()
     i = j = wrong = 0
     while True:
         best = (0, 0, 0, 0)
         for p, q in ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2)):
-            n = min(len(a) - i - p, len(b) - j - q)
-            if n <= 0:
-                continue
-            equal = a[i + p : i + p + n] == b[j + q : j + q + n]
-            run = np.cumsum(np.where(equal, 1, -2))
-            at = int(run.argmax())
-            best = max(best, (int(run[at]) - 2 * max(p, q), p + at + 1, q + at + 1, max(p, q) + int((~equal[: at + 1]).sum())), key=lambda x: x[0])
+            n = min(len(x) - i - p, len(y) - j - q)
+            paid, unequal = -2 * (p + q), p + q
+            for k in range(n):  # REACH words at most
+                if x[i + p + k] == y[j + q + k]:
+                    paid += 1
+                    if paid > best[0]:
+                        best = (paid, p + k + 1, q + k + 1, unequal)
+                else:
+                    paid -= 2
+                    unequal += 1
         if best[0] <= 0:
             return i, j, wrong
         i, j, wrong = i + best[1], j + best[2], wrong + best[3]
