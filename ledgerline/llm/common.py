@@ -18,11 +18,13 @@ GAP = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session; only where that is unset, as
-    in tests on one machine, a folder under /tmp is set.
+    It is ``spark.checkpoint.dir`` of the session; only where that is unset and the session runs on
+    this machine alone, as in tests, a folder under /tmp is set. On a cluster it must be set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file:///tmp/checkpoints/ledgerline"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -5,14 +5,16 @@ is covered whole by overlapping chunks of 64 positions, each 32 on from the last
 chunk's mean and maximum of every filter go through a layer of hidden units, whose largest
 values over all chunks are combined into one probability.
 
-Training is on the driver, on a bounded sample of labelled rows (``SAMPLE`` of each label,
-by the smallest hashes of doc_id, and none of over ``SAMPLE_BYTES``), with gradients
-written out by hand. Scoring runs where the texts are: the filters become tables over
+Training is on the driver, on a bounded sample of labelled rows (``SAMPLE`` of each label, by the
+smallest hashes of doc_id; of a text of over ``SAMPLE_BYTES`` a stretch of so many bytes from a
+seeded place on), with gradients written out by hand. Scoring runs where the texts are: the filters become tables over
 pairs of bytes, so a position costs a few table rows, and memory is bounded by a slice of
 a text and 48 numbers for every 64 bytes.
 
 Defined results: a null or empty text is one chunk of zero bytes and gets a score like
-any other. Without labelled rows of both kinds every score is the share of label 1, or 0.5.
+any other. A doc_id with several labels counts with the smallest, and one with several texts with
+the one of the smallest hash, so reruns learn the same network; labels or documents of a null doc_id
+aren't learned from. Without labelled rows of both kinds every score is the share of label 1, or 0.5.
 Equal texts have equal scores. Other columns are kept, and new columns replace ones of
 the same name.
 """
@@ -169,21 +171,22 @@ def train(rows: list[tuple[bytes, int]], share: float, *, epochs: int = EPOCHS,
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Network | float:
     """Learns from labelled documents whose doc_id isn't held out; a number if there is just one label or none."""
-    known = labels.select(doc_id, F.col(label).cast("int").alias("__y")).where(f"__y in (0, 1) and crc32(cast({doc_id} as string)) % 5 != 0").dropDuplicates([doc_id])
-    counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
+    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and crc32(cast(cast(id as string) as binary)) % 5 != 0").groupBy("id").agg(F.min("y").alias("y"))
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(counts) < 2:
         return float(next(iter(counts))) if counts else 0.5
-    texts = docs.where(F.octet_length(text).between(1, SAMPLE_BYTES)).select(doc_id)
-    rows = []
-    for y in (0, 1):
-        # ids first: texts are read once, for the chosen rows
-        ids = known.where(F.col("__y") == y).join(texts, doc_id, "left_semi").orderBy(F.xxhash64(F.lit(11), F.col(doc_id)), doc_id).limit(sample)
-        rows += [(r[0], y) for r in ids.select(doc_id).collect()]
-    ids = [i for i, _ in rows]
-    of = dict(rows)
-    got = docs.where(F.col(doc_id).isin(ids)).where(F.octet_length(text).between(1, SAMPLE_BYTES)).select(doc_id, text).dropDuplicates([doc_id]).collect()
-    got.sort(key=lambda r: r[0])
-    return train([(r[1].encode(), of[r[0]]) for r in got], counts[1] / (counts[0] + counts[1]))
+    # ids first, of those that there are texts of: texts are read once, and only the chosen rows' leave their place
+    there = known.join(docs.select(F.col(doc_id).alias("id")), "id", "left_semi")
+    chosen = [there.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(sample) for y in (0, 1)]
+    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    spare = F.greatest(F.octet_length(data) - SAMPLE_BYTES, F.lit(0))
+    piece = F.substring(data, (F.pmod(F.xxhash64(F.lit(13), doc_id), spare + 1) + 1).cast("int"), F.lit(SAMPLE_BYTES))
+    texts = docs.select(F.col(doc_id).alias("id"), piece.alias("piece"), F.xxhash64(data).alias("h")).join(F.broadcast(chosen[0].union(chosen[1])), "id")  # 2 x SAMPLE rows at most
+    got = texts.groupBy("id", "y").agg(F.min_by("piece", "h").alias("piece")).collect()
+    if len({r["y"] for r in got}) < 2:
+        return counts[1] / (counts[0] + counts[1])
+    got.sort(key=lambda r: r["id"])
+    return train([(bytes(r["piece"]), r["y"]) for r in got], counts[1] / (counts[0] + counts[1]))
 
 
 def score(df: DataFrame, model: Network | float, *, text: str = "text", column: str = "score") -> DataFrame:

@@ -335,6 +335,23 @@ def test_held_out_accuracy(spark):
     assert (good[:, None] > bad[None]).mean() > 0.9
 
 
+def test_learning_from_repeated_and_long_rows(spark):
+    """Reruns over repeated labels and texts learn one network, and texts beyond SAMPLE_BYTES are learned from."""
+    draw = random.Random(41)
+    good = lambda n: " ".join(prose(draw, n, 500))
+    rows = [(i, good(4000) if i % 2 else "BUY!! NOW!! $$$ " * 2000, "x", 1.0) for i in range(30)]  # all over SAMPLE_BYTES
+    rows += [(i, f"other text of {i}", "y", 2.0) for i in range(5)] + rows[:4] + [(None, "z", None, None), (99, None, None, None), (98, "", None, None)]
+    labels = [(i, i % 2) for i in range(30)] + [(3, 1), (5, 0), (None, 1), (400, 1), (98, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, predicted string, score double")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    one = quality_cnn.classify(docs.repartition(3), known.repartition(2)).toPandas()
+    two = quality_cnn.classify(docs.repartition(5), known.repartition(4)).toPandas()
+    key = ["doc_id", "score", "predicted"]
+    assert sorted(map(repr, one[key].values.tolist())) == sorted(map(repr, two[key].values.tolist())) and len(one) == len(rows)
+    assert one.score.between(0, 1).all() and one[one.doc_id == 7].score.iloc[0] > one[one.doc_id == 8].score.iloc[0]
+    assert not one[one.doc_id.isna()].held_out.any()
+
+
 def test_scores_by_tables_are_those_of_the_network():
     net = quality_cnn.train([(b"good text of words", 1), (b"BAD!! BAD!!", 0)] * 3, 0.5, epochs=2)
     tables = net.tables()
