@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .functions.columns import period
 from .operators import profile
 from .plans.graph import Path, Step
 from .plans.ir import Filter, Having, Measure, Plan, Projection, Top
@@ -57,6 +58,7 @@ PLANS: dict[str, tuple[Plan, str]] = {
     "filter_like": (Plan("Part", projections=(P(None, "id"), P(None, "name")), filters=(Filter("name", "LIKE", "%RING%"),)), "select p_partkey as id, p_name as name from part where p_name ilike '%RING%'"),
     "filter_in": (Plan("Order", projections=(P(None, "id"), P(None, "priority")), filters=(Filter("priority", "IN", ["1-URGENT", "5-LOW"]),)), "select o_orderkey as id, o_orderpriority as priority from orders where o_orderpriority in ('1-URGENT', '5-LOW')"),
     "filter_between_dates": (Plan("Order", measures=(M(metric="OrderTotal"),), projections=(P(None, "status"),), filters=(Filter("ordered", "BETWEEN", ["1996-01-01", "1996-12-31"]),)), f"select o_orderstatus as status, {money('o_totalprice')} as \"OrderTotal\" from orders where cast(o_orderdate as date) between date '1996-01-01' and date '1996-12-31' group by 1"),
+    "filter_period": (Plan("Order", measures=(M(metric="OrderTotal"), M(metric="OrderCount")), projections=(P(None, "priority"),), filters=(Filter("ordered", "BETWEEN", list(map(str, period("1996-02")))),)), f"select o_orderpriority as priority, {money('o_totalprice')} as \"OrderTotal\", count(distinct o_orderkey) as \"OrderCount\" from orders where cast(o_orderdate as date) between date '1996-02-01' and date '1996-02-29' group by 1"),
     "filter_through_fanout": (Plan("Nation", (NATION_CUSTOMERS, NATION_ORDERS), (P(),), (M(metric="CustomerBalance", path=0),), (Filter("priority", "=", "1-URGENT", 1),)), f"select n_name as name, {money('c_acctbal')} as \"CustomerBalance\" from nation join customer on c_nationkey = n_nationkey where exists (select 1 from customer c2 join orders on o_custkey = c2.c_custkey where c2.c_custkey = customer.c_custkey and o_orderpriority = '1-URGENT') group by 1"),
     "filter_on_unprojected_route": (Plan("Customer", (CUSTOMER_ORDERS,), (P(None, "id"),), filters=(Filter("total", ">", 400000, 0),)), "select c_custkey as id from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)"),
     # joins
@@ -67,6 +69,7 @@ PLANS: dict[str, tuple[Plan, str]] = {
     "join_marker": (Plan("Customer", (_route("Customer", "PLACED_WITH_LINES"),), (P(None, "segment"),), (M(metric="OrderTotal", path=0),)), f"select c_mktsegment as segment, {money('o_totalprice')} as \"OrderTotal\" from customer join orders on o_custkey = c_custkey where o_orderkey in (select l_orderkey from lineitem) group by 1"),
     "join_prefix_shared": (Plan("LineItem", (LINE_CUSTOMER, LINE_NATION), (P(0, "segment"), P(1)), (M(metric="Quantity"),)), f"select c_mktsegment as segment, n_name as name, {money('l_quantity')} as \"Quantity\" from {NATIONS} group by 1, 2"),
     "join_self_by_kind": (Plan("LineItem", (LINE_NATION, LINE_SUPPLIER_NATION), (P(0), P(1)), (M(metric="Revenue"),)), f"select c.n_name as name, s.n_name as name_2, {REVENUE} as \"Revenue\" from {CUSTOMERS} join nation c on c_nationkey = c.n_nationkey join supplier on l_suppkey = s_suppkey join nation s on s_nationkey = s.n_nationkey group by 1, 2"),
+    "join_composite_key": (Plan("Turn", (_route("Turn", "ANSWERS"),), (P(None, "conversation"),), (M(aggregation="count", attribute="number", path=0),)), "select conv_id as conversation, count(*) as count_number from conversations where role = 'assistant' group by 1"),
     # aggregates
     "agg_sum": (Plan("LineItem", (LINE_NATION,), (P(0),), (M(metric="Revenue"),)), f"select n_name as name, {REVENUE} as \"Revenue\" from {NATIONS} group by 1"),
     "agg_count": (Plan("LineItem", (), (P(None, "flag"), P(None, "status")), (M(metric="LineCount"),)), "select l_returnflag as flag, l_linestatus as status, count(*) as \"LineCount\" from lineitem group by 1, 2"),
@@ -78,6 +81,9 @@ PLANS: dict[str, tuple[Plan, str]] = {
     "agg_fan_trap_two_measures": (Plan("Nation", (NATION_LINES, NATION_SUPPLIERS), (P(),), (M(metric="Revenue", path=0), M(metric="SupplierBalance", path=1))), f"with r as (select n_name as name, {REVENUE} as v from {NATIONS} group by 1), s as (select n_name as name, {money('s_acctbal')} as v from supplier join nation on s_nationkey = n_nationkey group by 1) select name, r.v as \"Revenue\", s.v as \"SupplierBalance\" from r join s using (name)"),
     "agg_converging_route": (Plan("Part", (PART_ORDERS,), (P(None, "brand"),), (M(metric="OrderTotal", path=0),)), f"select brand, {money('t')} as \"OrderTotal\" from (select distinct p_brand as brand, o_orderkey, o_totalprice as t from part join lineitem on l_partkey = p_partkey join orders on l_orderkey = o_orderkey) group by 1"),
     "agg_raw_counts_each_row_once": (Plan("LineItem", (_route("LineItem", "OF_PART"),), (P(None, "flag"),), (M(aggregation="sum", attribute="price", path=0),)), f"select flag, {money('p')} as sum_price from (select distinct l_returnflag as flag, p_partkey, p_retailprice as p from lineitem join part on l_partkey = p_partkey) group by 1"),
+    "agg_output_finer": (Plan("Order", (_route("Order", "PLACED_BY"),), (P(None, "priority"), P(0, "segment")), (M(metric="CustomerBalance", path=0),)), f"select priority, segment, {money('b')} as \"CustomerBalance\" from (select distinct o_orderpriority as priority, c_mktsegment as segment, c_custkey, c_acctbal as b from orders join customer on o_custkey = c_custkey) group by 1, 2"),
+    "agg_output_coarser_ratio": (Plan("Part", (PART_LINES, PART_ORDERS), (P(None, "brand"),), (M(combine="divide", parts=(M(metric="Revenue", path=0), M(metric="OrderTotal", path=1))),)), f"with r as (select p_brand as brand, {REVENUE} as v from lineitem join part on l_partkey = p_partkey group by 1), o as (select brand, {money('t')} as v from (select distinct p_brand as brand, o_orderkey, o_totalprice as t from part join lineitem on l_partkey = p_partkey join orders on l_orderkey = o_orderkey) group by 1) select brand, r.v / o.v as \"Revenue_per_OrderTotal\" from r join o using (brand)"),
+    "agg_metric_explicit_route": (Plan("Customer", (CUSTOMER_ORDERS,), (P(None, "segment"),), (M(metric="OrderBill", path=0),)), f"select c_mktsegment as segment, {money('l_extendedprice')} + sum(cast({TAX} as decimal(18,4)))::double as \"OrderBill\" from {CUSTOMERS} group by 1"),
     # composites
     "composite_add": (Plan("Order", (), (P(None, "priority"),), (M(metric="OrderBill"),)), f"select o_orderpriority as priority, {money('l_extendedprice')} + sum(cast({TAX} as decimal(18,4)))::double as \"OrderBill\" from {LINES} group by 1"),
     "composite_sub": (Plan("Nation", (NATION_CUSTOMERS, NATION_SUPPLIERS), (P(),), (M(metric="BalanceGap"),)), f"with c as (select n_name as name, {money('c_acctbal')} as v from customer join nation on c_nationkey = n_nationkey group by 1), s as (select n_name as name, {money('s_acctbal')} as v from supplier join nation on s_nationkey = n_nationkey group by 1) select name, c.v - s.v as \"BalanceGap\" from c join s using (name)"),
