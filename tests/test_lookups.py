@@ -55,11 +55,70 @@ def test_faults(checker, sql, code):
 
 def test_exempt_and_absorbed(checker):
     join = "orders join lineitem on l_orderkey = o_orderkey"
-    assert not codes(checker, f"select max(o_totalprice), count(distinct o_orderkey), count(*) from {join}")
+    assert not codes(checker, f"select max(o_totalprice), count(distinct o_orderkey) from {join}")
+    assert codes(checker, f"select count(*) from {join}") == {"GRAIN_FANOUT"}  # orders are counted once for each line
+    assert not codes(checker, f"select o_orderkey, count(*) from {join} group by 1") and not codes(checker, "select count(*) from lineitem")
+    assert not codes(checker, "select count(*) from orders left semi join lineitem on l_orderkey = o_orderkey")
     undecided = checker.check("select c_name from customer union select s_name from supplier")
     assert not blocking(undecided) and blocking(undecided, strict=True)
 
 
+TOTALS = "(select o_custkey, sum(o_totalprice) as t from orders group by o_custkey)"
+BILLS = "(select o_orderkey, o_custkey, sum(l_extendedprice) as gross from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_custkey)"
+
+
+@pytest.mark.parametrize("sql", [
+    # formed at the grain of the join, by the same column or by an edge
+    f"select c_mktsegment, sum(t) from customer join {TOTALS} o on o_custkey = c_custkey group by 1",
+    f"select o.o_custkey, sum(gross) from orders o join {BILLS} b on b.o_orderkey = o.o_orderkey group by 1",
+    "with p as (select distinct o_custkey from orders where o_orderstatus = 'F') select c_mktsegment, count(c_custkey) from customer join p on p.o_custkey = c_custkey group by 1",
+    "select avg(t) from (select o_custkey, sum(o_totalprice) as t from orders group by o_custkey) x",
+    # exactly once: the shared value reduced by its own key first
+    "select p_brand, sum(t) from (select distinct p_brand, o_orderkey, o_totalprice as t from part join lineitem on l_partkey = p_partkey join orders on l_orderkey = o_orderkey) x group by 1",
+    # totals of one row each may stand side by side
+    "select a.x / b.y from (select sum(c_acctbal) as x from customer) a cross join (select sum(s_acctbal) as y from supplier) b",
+    # listings
+    "select c_name, o_orderkey from customer join orders on o_custkey = c_custkey",
+    "select c_name, s_name from customer join nation on c_nationkey = n_nationkey join supplier on s_nationkey = n_nationkey",
+    # metrics as the model has them
+    "select n_name, sum(l_extendedprice * (1 - l_discount)) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1",
+    "select o_orderpriority, sum(l_extendedprice) + sum(l_extendedprice * l_tax) as bill from lineitem join orders on l_orderkey = o_orderkey group by 1",
+    "select l_linestatus, case when count(distinct o_orderkey) = 0 then null else sum(l_extendedprice * (1 - l_discount)) / count(distinct o_orderkey) end as revenue_per_order from lineitem join orders on l_orderkey = o_orderkey group by 1",
+    "with r as (select sum(l_extendedprice * (1 - l_discount)) as v from lineitem), o as (select count(distinct o_orderkey) as n from orders) select r.v / o.n as RevenuePerOrder from r cross join o",
+])
+def test_subqueries_and_metrics_that_hold(checker, sql):
+    assert not codes(checker, sql)
+
+
+@pytest.mark.parametrize("sql, code", [
+    # the join doesn't cover the subquery's grain, so its rows multiply
+    (f"select sum(c_acctbal) from customer join {BILLS} b on b.o_custkey = c_custkey", "GRAIN_FANOUT"),
+    (f"select sum(t) from orders x join {TOTALS} y on y.o_custkey = x.o_custkey", "GRAIN_FANOUT"),
+    ("select sum(o_totalprice) from (select 1 as one from region group by 1) x cross join (select distinct o_orderkey, o_totalprice from orders) y", "CARTESIAN"),
+    # faults inside
+    ("select max(t) from (select o_custkey, sum(o_totalprice) as t from orders join lineitem on l_orderkey = o_orderkey group by o_custkey) x", "GRAIN_FANOUT"),
+    ("select avg(n) from (select c_custkey, count(*) as n from customer join supplier on c_custkey = s_suppkey group by 1) x", "UNDECLARED_JOIN"),
+    # no edge between what the columns come from
+    (f"select sum(t) from supplier join {TOTALS} y on y.o_custkey = s_suppkey", "UNDECLARED_JOIN"),
+    ("select 1 from customer join (select max(o_totalprice) as m from orders group by o_custkey) x on m = c_acctbal", "UNDECIDABLE"),
+    # a total per customer beside each of the customer's orders, though it could be formed per order
+    ("select o.o_orderkey, sum(t) from (select c_custkey, sum(o_totalprice) as t from customer join orders on o_custkey = c_custkey group by c_custkey) x join orders o on o.o_custkey = x.c_custkey group by 1", "GRAIN_MISMATCH"),
+    # an order's total for each of its lines, added up again
+    ("select sum(t) from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, o_totalprice as t from lineitem join orders on l_orderkey = o_orderkey group by 1, 2, 3, 4, 5) x", "GRAIN_MISMATCH"),
+    # two amounts below one nation, and one table twice
+    ("select c_acctbal, s_acctbal from customer join nation on c_nationkey = n_nationkey join supplier on s_nationkey = n_nationkey", "ROW_FANOUT"),
+    ("select a.c_name, b.c_name from customer a join nation on a.c_nationkey = n_nationkey join customer b on b.c_nationkey = n_nationkey", "ROW_FANOUT"),
+    # metrics formed otherwise
+    ("select n_name, sum(l_extendedprice) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1", "METRIC_FIDELITY"),
+    ("select avg(l_quantity) as Quantity from lineitem", "METRIC_FIDELITY"),
+    ("select o_orderpriority, sum(l_extendedprice) as bill from lineitem join orders on l_orderkey = o_orderkey group by 1", "METRIC_FIDELITY"),
+    ("select count(distinct o_orderkey) / sum(l_extendedprice * (1 - l_discount)) as revenue_per_order from lineitem join orders on l_orderkey = o_orderkey", "METRIC_FIDELITY"),
+    ("select l_quantity as Quantity from lineitem", "METRIC_FIDELITY"),
+])
+def test_faults_of_subqueries_and_metrics(checker, sql, code):
+    assert code in codes(checker, sql)
+
+
 def test_picks(engine):
     menu = engine.menu(["LineItem", "Order", "Customer"])
     assert menu.token_size() > 0 and len(menu.routes) == len(set(menu.routes.values()))
