@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import trace
 from .operators.lower import Compiler
 from .plans.graph import Graph
-from .plans.ir import Plan, canonical_key
+from .plans.ir import Plan, canonical_key, canonicalise
 from .plans.model import GrainError, Model
 from .plans.pick import Menu
 from .plans.review import Remark, double_counts, review
@@ -30,16 +31,21 @@ class Engine:
 
     def run(self, plan: Plan) -> DataFrame:
         """The plan's rows, or a refusal (PlanError, GrainError), also of a total beside its own summand."""
-        one: Plan | None = plan
-        while one is not None:
-            if doubled := double_counts(one, self.model):
-                raise GrainError("; ".join(r.message for r in doubled))
-            one = one.other
-        return self.compiler.compile(plan)
+        with trace.span("compile", subject=plan.subject, measures=len(plan.measures), routes=len(plan.paths)):
+            one: Plan | None = plan
+            while one is not None:
+                if doubled := double_counts(one, self.model):
+                    raise GrainError("; ".join(r.message for r in doubled))
+                one = one.other
+            return self.compiler.compile(plan)
 
     def key(self, plan: Plan) -> str:
         return canonical_key(plan, self.model)
 
+    def routes(self, plan: Plan) -> list[tuple[str, str, tuple[str, ...]]]:
+        """Every route of a plan as it runs: its id, its steps, and the roles that it commits to from the subject on."""
+        return [(self.graph.route_id(p), str(p), self.graph.signature(p)) for p in map(self.graph.govern, canonicalise(plan, self.model).paths)]
+
     def review(self, plan: Plan) -> list[Remark]:
         return review(plan, self.graph)
 
