@@ -21,7 +21,9 @@ class Question:
 
 def load_questions(path: str | Path) -> list[Question]:
     """A list of questions; ids are unique, texts aren't blank, and unknown keys are errors."""
-    found = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or []  # JSON is YAML, too
+    found = yaml.safe_load(Path(path).read_text(encoding="utf-8"))  # JSON is YAML, too
+    if found is None:
+        return []
     if not isinstance(found, list):
         raise ValueError(f"{path} is no list")
     out: dict[str, Question] = {}
