@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,17 +38,38 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_live: list[Scratch] = []
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """What operators write within goes at the end: for results that are written or gathered by then."""
+    here = len(_live)
+    try:
+        yield
+    finally:
+        for scratch in _live[here:]:
+            scratch._end()
+        del _live[here:]
+
+
+@atexit.register
+def _end_all() -> None:
+    for scratch in _live:
+        scratch._end()
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
-    They stay until ``drop`` or the end of the driver's process, as lazily
+    They stay until ``drop``, the end of ``passing`` or that of the driver's process, as lazily
     evaluated results read them.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self._end)
+        _live.append(self)
 
     def _end(self) -> None:
         try:

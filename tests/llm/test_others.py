@@ -430,6 +430,19 @@ def test_pipeline_stages(spark):
     assert per.max() <= 3 and set(per.index) <= set(before.doc_id) and len(rows) == len(after) and (rows.n_tokens == rows.ids.map(len)).all()
 
 
+def test_scratch_tables_go_at_the_end(spark):
+    from ledgerline.llm import common
+
+    outside = common.Scratch(spark, "outside")
+    kept = outside.write(spark.range(3), "t")
+    with common.passing():
+        inside = common.Scratch(spark, "inside")
+        n = inside.write(spark.range(5), "t").count()
+    path = Path(inside.root.removeprefix("file://"))
+    assert n == 5 and not path.exists() and kept.count() == 3
+    outside.drop("t")
+
+
 def test_near_dedup_of_repeated_ids(spark):
     """A text goes for its own near copy only, not for that of another row of its doc_id."""
     draw = random.Random(31)
