@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+#: What reaches what over links (a, b), and the smallest of it: in DuckDB SQL, for tests.
+REACHED = """both_ as (select a, b from links union select b, a from links),
+    reach(a, b) as (select a, b from both_ union select r.a, e.b from reach r join both_ e on r.b = e.a),
+    least_ as (select a, min(b) as m from reach group by a)"""
+
+
 def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(id, component): for every end of the links (a, b) the smallest id that links reach.
 

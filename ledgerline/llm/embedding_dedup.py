@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, runs_of_keys
-from .components import components
+from .components import REACHED, components
 
 TILE = 1024
 #: Chance that a pair at the threshold is counted often enough.
@@ -284,3 +284,15 @@ def link(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", th
     linked = each.join(least, "component").groupBy("vec_id").agg(F.max(F.col("weight") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"), F.min("least").alias("component_id"))
     out = rows.select("vec_id").distinct().join(linked, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def sql(threshold: float = 0.9) -> str:
+    """link() of a table embeddings with distinct vec_ids, in DuckDB SQL, by all pairs."""
+    return f"""
+    with recursive v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null),
+    fine as (select * from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+    links as (select a.vec_id as a, b.vec_id as b from fine a join fine b on a.vec_id < b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= {threshold}),
+    {REACHED}
+    select vec_id, coalesce(c, 0)::bigint as n_links, least(vec_id, coalesce(m, vec_id)) as component_id, vec_id = least(vec_id, coalesce(m, vec_id)) as kept
+    from v left join least_ on least_.a = vec_id left join (select a, count(*) as c from both_ group by a) d on d.a = vec_id
+    """

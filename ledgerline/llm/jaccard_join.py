@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .common import Scratch, meet, one_each, shuffle_partitions
-from .components import components
+from .components import REACHED, components
 
 WIDTH = 5
 #: Tokens of a range, and of a block that is packed at once, about; bytes of a text to a token.
@@ -328,3 +328,21 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFr
     named = classed.join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
     empty = sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     return named.unionByName(empty)
+
+
+def sql() -> str:
+    """join() of a table documents with distinct doc_ids, in DuckDB SQL, by all shared shingles."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') as w from documents where doc_id is not null),
+    s as (select doc_id, case when len(w) = 0 then [] when len(w) < {WIDTH} then [array_to_string(w, ' ')]
+      else list_distinct(list_transform(range(1, len(w) - {WIDTH} + 2), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' '))) end as s from w),
+    t as (select doc_id, unnest(s) as t from s),
+    n as (select doc_id, len(s) as n, list_sort(s) as k from s),
+    pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from t a join t b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2),
+    links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+    {REACHED}
+    select doc_id, n::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id,
+      case when n = 0 then doc_id else min(doc_id) over (partition by k) end as class_id
+    from n left join least_ on a = doc_id
+    """

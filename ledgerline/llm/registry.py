@@ -76,4 +76,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": license_scan.sql(), "op9_line_dedup": line_dedup.sql()}
+    return {"op4_license_scan": license_scan.sql(), "op7_jaccard_join": jaccard_join.sql(), "op9_line_dedup": line_dedup.sql(), "op10_embedding_dedup": embedding_dedup.sql()}
