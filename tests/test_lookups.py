@@ -53,6 +53,12 @@ def test_faults(checker, sql, code):
     assert code in codes(checker, sql)
 
 
+def test_literals_that_nearly_occur(checker):
+    found = {f.message for f in checker.check("select 1 from customer where c_mktsegment in ('building', 'NOTHING') and c_custkey = -1 and c_name like 'customer%'")}
+    assert len(found) == 3 and sum("another case" in m for m in found) == 2
+    assert not codes(checker, "select 1 from customer where c_mktsegment like 'BUILD%' and c_custkey = 1") and not codes(checker, "select 1 from customer where c_mktsegment = 'x'", literals=False)
+
+
 def test_exempt_and_absorbed(checker):
     join = "orders join lineitem on l_orderkey = o_orderkey"
     assert not codes(checker, f"select max(o_totalprice), count(distinct o_orderkey) from {join}")
