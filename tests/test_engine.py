@@ -195,6 +195,26 @@ def test_keys_of_plans():
     assert canonical_key(Plan("Claim", two, (Projection(1),))) == canonical_key(Plan("Claim", two[:1], (Projection(0),)))
 
 
+def test_known_gaps_of_keys(spark):
+    """Plans of one result whose keys differ: routes in another order, a route that nothing uses, a listing in another order."""
+    e, other = engine(spark, FANNED), path("Claim", "AGAINST")
+    loss = (Measure(metric="Loss"),)
+    one = Plan("Claim", (TO_POLICY, other), (Projection(0), Projection(1)), loss)
+    turned = Plan("Claim", (other, TO_POLICY), (Projection(1), Projection(0)), loss)
+    assert e.key(one) != e.key(turned) and rows(e.run(one)) == rows(e.run(turned))
+    unused = Plan("Claim", (TO_POLICY, other), (Projection(0),), loss)
+    assert e.key(unused) != e.key(Plan("Claim", (TO_POLICY,), (Projection(0),), loss)) and rows(e.run(unused)) == rows(e.run(Plan("Claim", (TO_POLICY,), (Projection(0),), loss)))
+    assert e.key(Plan("Claim", (TO_POLICY,), (Projection(0),), loss)) == e.key(Plan("Claim", (TO_POLICY,), (Projection(0, "number"),), loss))  # the display, once the model is known
+    assert canonical_key(Plan("Claim", (TO_POLICY,), (Projection(0),), loss)) != canonical_key(Plan("Claim", (TO_POLICY,), (Projection(0, "number"),), loss))
+
+
+def test_nulls_come_last_whatever_the_order(spark):
+    e = engine(spark, FANNED, numbers=("PN", None))
+    for down in (True, False):
+        plan = Plan("Policy", (), (Projection(None, "id"), Projection()), top=Top(5, projection=1, descending=down))
+        assert [tuple(r)[1] for r in e.run(plan).collect()] == ["PN", None]
+
+
 def broken(change):
     semantic, mapping = layers()
     change(semantic, mapping)
