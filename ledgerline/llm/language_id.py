@@ -101,31 +101,34 @@ def trigrams(text: bytes) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, bucket, n): trigrams of a batch's texts."""
+    """(lang, bucket, n): trigrams of a partition's texts."""
+    total: dict[str, np.ndarray] = {}
     for batch in batches:
-        total: dict[str, np.ndarray] = {}
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            codes = trigrams(text.as_py().encode())
-            total[name] = total.get(name, 0) + np.bincount(codes, minlength=BUCKETS)
-        for name, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"])
+            total[name] = total.get(name, 0) + np.bincount(trigrams(text.as_py().encode()), minlength=BUCKETS)
+    for name, counts in total.items():
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"])
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in order and the log-probability of each bucket under each.
 
     One pass finds every language's documents of the smallest hashes of doc_id and text, one counts
-    the trigrams of their whole texts where these are; the driver gets the counts.
+    the trigrams of their whole texts, a language's sample in one task; the driver gets the counts.
     """
     fine = docs.where(F.col(lang).isNotNull() & (F.octet_length(text) >= 20)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(5), doc_id, text).alias("h"))
     langs = [r[0] for r in fine.select("lang").distinct().orderBy("lang").limit(LANGUAGES + 1).collect()]
     if len(langs) > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages")
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = fine.select("lang", "h").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).select("lang", "h")
+    # of each language the rows of the smallest hashes, by a threshold that some four times as many pass
+    rows = fine.select("lang", "h").distinct()
+    place = F.pmod("h", F.lit(1 << 20))
+    most = F.broadcast(rows.groupBy("lang").count())  # LANGUAGES rows at most
+    few = rows.join(most, "lang").where(place * F.col("count") <= (1 << 20) * 4 * (sample + 10))
+    chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(place, "h"))).where(F.col("k") <= sample).select("lang", "h")
     texts = fine.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")  # LANGUAGES x sample rows at most
-    found = texts.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.repartition("lang").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((len(langs), BUCKETS), 0.2)
     at = np.searchsorted(np.array(langs, object), found["lang"].to_numpy(zero_copy_only=False)) if len(langs) else np.zeros(0, int)
     counts[at, found["bucket"].to_numpy()] += found["n"].to_numpy()
