@@ -95,6 +95,14 @@ def test_whole_documents_are_within_one_of_the_target(spark, monkeypatch):
         assert sorted(again[["text", "copies"]].fillna("").itertuples(index=False, name=None)) == sorted(out[["text", "copies"]].fillna("").itertuples(index=False, name=None))
 
 
+def test_a_very_long_text_beside_short_ones(spark):
+    rows = [(1, "a", "w " * 400_000, 0)] + [(i, "ab"[i % 2], "w w w", 0) for i in range(2, 40)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = mixing.mix(df).toPandas().set_index("doc_id")
+    assert out["size"][1] == 400_000 and (out.taken <= 3 * out["size"]).all() and abs(out[out.source == "a"].taken.sum() - out[out.source == "a"].target.iloc[0]) < 2000
+    assert mixing.whole(df).toPandas().set_index("doc_id").copies.max() <= 3
+
+
 def test_more_sources_than_the_bound(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SOURCES", 2)
     df = spark.createDataFrame([(i, str(i), "w", 1) for i in range(3)], DOCS)

@@ -272,6 +272,14 @@ def test_passages_of_repeated_ids(spark):
     assert out.doc_id.tolist() == [5, 5] and sorted(out.of_doc) == [1, 2] and out.row.nunique() == 2 and (out.n_words >= 120).all()
 
 
+def test_passages_of_very_long_texts(spark):
+    draw = random.Random(44)
+    long_, p = prose(draw, 150_000, 50_000), prose(draw, 90, 50_000)
+    rows = [(1, " ".join(long_)), (2, " ".join(long_[70_000:70_300] + p)), (3, " ".join(["x"] * 30 + long_ + p))]
+    out = sorted((r["doc_id"], r["start_word"], r["end_word"], r["of_doc"]) for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [o[0] for o in out] == [2, 3] and out[0][3] == 1 and abs(out[0][2] - 300) <= 3 and out[1][1] in range(28, 33) and out[1][2] == 150_120
+
+
 def test_seeds_leave_no_window_without():
     draw = random.Random(1)
     for k in range(600):
