@@ -24,6 +24,8 @@ from ..plans.layout import Layout
 from ..plans.model import Attribute, GrainError, Metric, Model, PlanError
 
 Tables = Callable[[str], DataFrame]
+#: Columns of a key that are shuffled as they are.
+WIDE = 3
 
 
 @dataclass(frozen=True)
@@ -276,6 +278,14 @@ class Compiler:
         concept = self.model.concepts[layout.nodes[alias].concept]
         return [F.col(f"{alias}__{k}").alias(f"__p{i}") for i, k in enumerate(concept.key)]
 
+    def _row_key(self, layout: Layout, alias: str) -> list[Column]:
+        """What tells the rows of an alias apart: its key, or 128 bits of a key that is wider than these."""
+        key = [F.col(f"{alias}__{k}") for k in self.model.concepts[layout.nodes[alias].concept].key]
+        if len(key) <= WIDE:
+            return key
+        told = [x for c in key for x in (c, c.isNull())]  # a hash passes over nulls
+        return [F.xxhash64(*told), F.xxhash64(F.lit(1), *told)]
+
     def _satellite(self, layout, sat: Satellite, keys, names, filters, first: int) -> DataFrame:
         df = self._joined(layout, set(sat.aliases), filters)
         per = self._instance(layout, sat.per) if sat.per else []
@@ -283,7 +293,7 @@ class Compiler:
         values = [self._column(leaf.alias, leaf.attribute).alias(f"__x{i}") for i, leaf in enumerate(sat.leaves)]
         inner = layout.closure(set(sat.aliases))
         if not (self.elide and layout.one_row_each(sat.leaves[0].alias, inner)):
-            grain = [F.col(f"{a}__{k}").alias(f"__k{i}_{j}") for i, a in enumerate(sat.grain) for j, k in enumerate(self.model.concepts[layout.nodes[a].concept].key)]
+            grain = [c.alias(f"__k{i}_{j}") for i, a in enumerate(sat.grain) for j, c in enumerate(self._row_key(layout, a))]
             df = df.select(*keys, *per, *grain, *values).distinct()
         else:
             df = df.select(*keys, *per, *values)
