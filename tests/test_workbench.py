@@ -132,6 +132,13 @@ def test_resolution_of_a_question(engine):
     assert g.route_id(g.paths("LineItem", "Customer")[0]) in r.routes
 
 
+def test_definitions_and_listings(engine):
+    m, g = engine.model, engine.graph
+    r = resolve(Wish(("Order",), definitions=(("cost", ("order gross", "order tax")), ("odd", ("revenue", "quantity")), ("bad", ("revenue", "sorrow")))), "cost of each order", m, g)
+    assert r.metrics == ["OrderBill"] and r.composed == [("odd", ("Revenue", "Quantity"))] and r.unresolved == [("definition", "sorrow")] and not r.identities
+    assert resolve(Wish(("Customer", "Nation")), "customers and their nations", m, g).identities == ["Customer.name", "Nation.name"]
+
+
 def test_narrowed_schema(engine):
     m, g = engine.model, engine.graph
     schema = engine.menu(["LineItem", "Order", "Customer"]).schema()
