@@ -46,9 +46,9 @@ from .components import REACHED, components
 
 WIDTH = 5
 #: Tokens of a range, and of a block that is packed at once, about; bytes of a text to a token.
-RANGE_TOKENS, BLOCK_TOKENS, TOKEN_BYTES = 1 << 21, 1 << 20, 6
+RANGE_TOKENS, BLOCK_TOKENS, TOKEN_BYTES = 1 << 21, 1 << 21, 6
 #: Bits of a fingerprint beyond those that number the tokens.
-SPARE_BITS = 8
+SPARE_BITS = 5
 #: The least frequency that is looked up, and the most tokens that are.
 LEAST, FREQUENT = 12, 1 << 20
 #: Bands of two minimum hashes for the first grouping.
@@ -67,9 +67,9 @@ class Layout(NamedTuple):
     range: int
 
     @property
-    def gap(self) -> type:
-        """Integers for the gaps between the fingerprints of a block."""
-        return np.uint16 if self.key <= 36 else np.uint32 if self.key <= 52 else np.uint64
+    def low(self) -> int:
+        """Whole bytes of the gaps between the fingerprints of a block; what is above them is 127 or less on average."""
+        return max(0, -(-(self.key - BLOCK_TOKENS.bit_length() + 1 - 7) // 8))
 
 
 def layout(size: int) -> Layout:
@@ -78,18 +78,23 @@ def layout(size: int) -> Layout:
     return Layout(min(62, max(24, tokens.bit_length() + SPARE_BITS)), max(3, (tokens // RANGE_TOKENS).bit_length()))
 
 
-def _gaps(places: np.ndarray, kind: type) -> bytes:
-    """Rising numbers as their gaps; the largest integer of the kind carries on."""
-    gap, most = np.diff(places, prepend=0).astype(np.uint64), U(np.iinfo(kind).max)
-    carries = (gap // most).astype(np.int64)
-    out = np.full(len(gap) + int(carries.sum()), most, kind)
-    out[np.cumsum(carries + 1) - 1] = gap % most
-    return out.tobytes()
+def _gaps(places: np.ndarray, low: int) -> tuple[bytes, bytes]:
+    """Rising numbers as their gaps: what is above so many low bytes, where 255 carries on, and the low bytes."""
+    gap = np.diff(places, prepend=0).astype("<u8")
+    high = (gap >> U(8 * low)).astype(np.int64)
+    carries = high // 255
+    out = np.full(len(high) + int(carries.sum()), 255, np.uint8)
+    out[np.cumsum(carries + 1) - 1] = high % 255
+    return out.tobytes(), gap.view(np.uint8).reshape(-1, 8)[:, :low].tobytes()
 
 
-def _places(data: bytes, kind: type) -> np.ndarray:
-    gap = np.frombuffer(data, kind)
-    return np.cumsum(gap.astype(np.int64))[gap != np.iinfo(kind).max]
+def _places(high: bytes, rest: bytes, low: int) -> np.ndarray:
+    h = np.frombuffer(high, np.uint8)
+    ends = h != 255
+    gap = np.diff(np.cumsum(h.astype(np.int64))[ends], prepend=0) << (8 * low)
+    for k, b in enumerate(np.frombuffer(rest, np.uint8).reshape(len(gap), low).T):
+        gap += b.astype(np.int64) << (8 * k)
+    return np.cumsum(gap)
 
 
 def _key(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -97,7 +102,7 @@ def _key(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _packed(form: Layout):
-    """(range, gaps, at, more): a block's distinct fingerprints of a range, and which of them it has more than once, and how often."""
+    """(range, gaps, rest, at, more): a block's distinct fingerprints of a range, and which of them it has more than once, and how often."""
 
     def out(held: list[np.ndarray]) -> pa.RecordBatch:
         keys, counts = np.unique(_key(np.concatenate(held), form.key), return_counts=True)
@@ -107,8 +112,8 @@ def _packed(form: Layout):
         for r in np.flatnonzero(np.diff(cut)):
             k, n = keys[cut[r] : cut[r + 1]], counts[cut[r] : cut[r + 1]]
             more = np.flatnonzero(n > 1)
-            rows.append((int(r), _gaps(k - (int(r) << low), form.gap), more.astype(np.int32).tobytes(), n[more].astype(np.int32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["range", "gaps", "at", "more"])
+            rows.append((int(r), *_gaps(k - (int(r) << low), form.low), more.astype(np.int32).tobytes(), n[more].astype(np.int32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], names=["range", "gaps", "rest", "at", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -129,8 +134,8 @@ def _packed(form: Layout):
 def _frequent_of(form: Layout):
     def run(table: pa.Table) -> pa.Table:
         places, counts = [], []
-        for gaps, at, more in zip(*(table.column(c).to_pylist() for c in ("gaps", "at", "more"))):
-            places.append(_places(gaps, form.gap))
+        for gaps, rest, at, more in zip(*(table.column(c).to_pylist() for c in ("gaps", "rest", "at", "more"))):
+            places.append(_places(gaps, rest, form.low))
             n = np.ones(len(places[-1]), np.int64)
             n[np.frombuffer(at, np.int32)] = np.frombuffer(more, np.int32)
             counts.append(n)
@@ -145,7 +150,7 @@ def _frequent_of(form: Layout):
 
 def frequent_tokens(docs: DataFrame, form: Layout, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """Sorted fingerprints of the most frequent tokens and their document frequencies."""
-    packed = docs.mapInArrow(_packed(form), "range int, gaps binary, at binary, more binary")
+    packed = docs.mapInArrow(_packed(form), "range int, gaps binary, rest binary, at binary, more binary")
     found = scratch.write(packed.groupBy("range").applyInArrow(_frequent_of(form), "key long, df long"), "frequent")
     level = F.floor(F.log2("df") * 8)
     counts = sorted(((r["level"], r["n"]) for r in found.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 8 x 64 rows
