@@ -105,8 +105,19 @@ PLANS: dict[str, tuple[Plan, str]] = {
 }
 
 
+#: Engines by session and folder: the model is read and checked against the tables once.
+_engines: dict[tuple[str, str], Engine] = {}
+
+
+def engine_of(spark: SparkSession, sf_dir: str) -> Engine:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _engines:
+        _engines[key] = Engine.retail(spark, sf_dir)
+    return _engines[key]
+
+
 def _planned(plan: Plan) -> Query:
-    return lambda spark, sf_dir: Engine.retail(spark, sf_dir).run(plan)
+    return lambda spark, sf_dir: engine_of(spark, sf_dir).run(plan)
 
 
 def _rounded(query: Query, column: str, digits: int) -> Query:
@@ -118,7 +129,7 @@ ROUNDED = {"over_avg_per_grain": ("avg_OrderBill", 2), "over_max_per_grain": ("m
 
 
 def _engine(use) -> Query:
-    return lambda spark, sf_dir: use(Engine.retail(spark, sf_dir))
+    return lambda spark, sf_dir: use(engine_of(spark, sf_dir))
 
 
 PICK = {"subject": "LineItem", "dimensions": [{"route": "LineItem>Nation#1", "attribute": "name"}], "measures": [{"metric": "Revenue"}], "having": [{"measure": 0, "op": ">", "value": 0}], "top": {"measure": 0, "limit": 5}}

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.model import Model, ModelError, build
 
+#: The safe loader, in C where it is built.
+LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 MODELS = File(__file__).resolve().parents[1] / "models"
 
 
 def load_model(semantic: str | File, mapping: str | File, schema: dict[str, set[str]] | None = None) -> Model:
     """The model of two YAML files, checked against the tables' columns if they are given."""
-    docs = [yaml.safe_load(File(p).read_text(encoding="utf-8")) for p in (semantic, mapping)]
+    docs = [yaml.load(File(p).read_text(encoding="utf-8"), Loader=LOADER) for p in (semantic, mapping)]
     return build(*docs, schema)
 
 
