@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: The characters that separate words, and runs of them.
+#: The characters that separate words.
 BLANKS = " \t\n\x0b\x0c\r"
-GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -150,11 +149,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(flat, " "), "")
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
