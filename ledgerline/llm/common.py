@@ -81,10 +81,6 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def sweep(self) -> None:
-        """Lets Spark remove the shuffle files of results that are written by now; it does so only when the driver's memory is collected."""
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, name: str) -> None:
         _delete(self.spark, f"{self.root}/{name}")
 

@@ -413,7 +413,6 @@ def earliest(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     out = scratch.write(meet(met, place, ["seed"], total), name)
     for done in ("counts", "met", "first"):
         scratch.drop(f"{name}-{done}")
-    scratch.sweep()
     return out
 
 
@@ -443,10 +442,8 @@ def spans(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
     pieces = scratch.write(matches.repartition("doc", "of").sortWithinPartitions(*order).mapInArrow(_chains, PIECES), "pieces")
     for done in ("seeds", "runs", "runs-placed"):
         scratch.drop(done)
-    scratch.sweep()
     blocks = marks.where("words is not null").select("doc", "pos", "words")
     left = scratch.write(with_blocks(pieces, blocks, "doc", "x", "a", scratch), "left")
-    scratch.sweep()
     full = with_blocks(left, blocks, "of", "y", "b", scratch).select("doc", "of", "no", "x", "y", "first", "last", "xs", "ys", "a", "b")
     aligned = full.mapInArrow(_aligned, "doc long, of long, no int, start int, stop int, other_start int, other_stop int, edits int")
     ends = [F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("other_start").alias("other_start"), F.max("other_stop").alias("other_stop")]
