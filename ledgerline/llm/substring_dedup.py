@@ -433,6 +433,8 @@ def spans(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
     """(doc, of, start, stop, other_start, other_stop, identity): aligned chains of a document (doc, text) with an earlier one."""
     marks = scratch.write(docs.where(F.octet_length("text") > 2 * K - 2).mapInArrow(_marks, "doc long, pos int, seed long, words binary"), "marks")
     seeds = earliest(marks.where("seed is not null").select("seed", "doc", "pos"), scratch, "seeds")
+    blocks = scratch.write(marks.where("words is not null").select("doc", "pos", "words"), "blocks")
+    scratch.drop("marks")  # most of it are seeds that occur once
     runs = scratch.write(seeds.repartition("doc").sortWithinPartitions("doc", "pos").mapInArrow(_uneven, "seed long, doc long, pos int, len int"), "runs")
     longer = earliest(runs, scratch, "runs-placed")
     both = seeds.select("doc", "of", "pos", "at", F.lit(K).alias("len")).unionByName(longer.select("doc", "of", "pos", "at", "len"))
@@ -442,7 +444,6 @@ def spans(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
     pieces = scratch.write(matches.repartition("doc", "of").sortWithinPartitions(*order).mapInArrow(_chains, PIECES), "pieces")
     for done in ("seeds", "runs", "runs-placed"):
         scratch.drop(done)
-    blocks = marks.where("words is not null").select("doc", "pos", "words")
     left = scratch.write(with_blocks(pieces, blocks, "doc", "x", "a", scratch), "left")
     full = with_blocks(left, blocks, "of", "y", "b", scratch).select("doc", "of", "no", "x", "y", "first", "last", "xs", "ys", "a", "b")
     aligned = full.mapInArrow(_aligned, "doc long, of long, no int, start int, stop int, other_start int, other_stop int, edits int")
